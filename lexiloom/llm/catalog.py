@@ -1,10 +1,30 @@
 """Queries of the training-data operators, with their SQL where there is one."""
 from __future__ import annotations
 
-from lexiloom.llm import encoding, mixing, splitting
+from lexiloom.llm import encoding, formatting, lookalike, mixing, splitting
 from lexiloom.sources.tables import table
 
 
+def p3_found(spark, folder):
+    """Copies of aligned pairs that differ only in formatting or in which column holds which text."""
+    return formatting.formatting_copies(table(spark, folder, "aligned_book"))
+
+
+def p3_records(spark, folder):
+    """One row for each record of aligned_book, with its number of copies."""
+    return formatting.collapse_formatting(table(spark, folder, "aligned_book"))
+
+
+def p5_found(spark, folder):
+    """Pairs of segments that look the same but are stored differently."""
+    return lookalike.lookalike_pairs(table(spark, folder, "segments"))
+
+
+def p5_unified(spark, folder):
+    """Every segment's text in one consistent form."""
+    return lookalike.unify_lookalikes(table(spark, folder, "segments"))
+
+
 def p6_ids(spark, folder):
     """Token ids of every document by byte_bpe_50k."""
     return encoding.encode_ids(table(spark, folder, "documents"))
@@ -30,8 +50,14 @@ def p8_pieces(spark, folder):
     return splitting.split_texts(table(spark, folder, "documents"), table(spark, folder, "split_limits"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_round_trip, p7_mix, p7_report, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_records, p5_found, p5_unified, p6_ids, p6_round_trip, p7_mix, p7_report, p8_pieces)}
+
+_FOLD = r"regexp_replace(lower({0}), '[\s\p{{Z}}\p{{P}}]', '', 'g')"
+_RECORD = f"""(with folded as (select distinct row_id, coalesce('t' || {_FOLD.format('en')}, '') as a, coalesce('t' || {_FOLD.format('fr')}, '') as b from aligned_book where row_id is not null)
+  select row_id, min(row_id) over (partition by least(a, b), greatest(a, b)) as first_id from folded)"""
 
 ORACLES = {
+    "p3_found": f"select first_id, row_id as copy_id from {_RECORD} where row_id <> first_id",
+    "p3_records": f"select r.first_id, b.en, b.fr, count(*) as n_copies from {_RECORD} r join (select distinct row_id, en, fr from aligned_book) b on b.row_id = r.first_id group by all",
     "p6_round_trip": "select doc_id, coalesce(text, '') as text from documents",
 }
