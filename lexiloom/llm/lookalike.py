@@ -14,8 +14,8 @@ from collections import Counter
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,7 +68,10 @@ def _relevant() -> np.ndarray:
     return flag
 
 
-_marks = re.compile(r"[^\W\d_][̀-ͯ]", re.UNICODE)
+@lru_cache(1)
+def _joined() -> list[str]:
+    """Strings that one code point can stand for, but for bases with a mark."""
+    return sorted({v for v in links().values() if len(v) > 1 and not unicodedata.combining(v[1])})
 
 
 def _count(batches):
@@ -79,6 +82,9 @@ def _count(batches):
             t = as_texts(column, False)
             cps, counts = np.unique(t.cp[_relevant()[t.cp]], return_counts=True)
             n.update(dict(zip((chr(c) for c in cps), counts.tolist())))
+            for form in _joined():
+                if many := pc.sum(pc.count_substring(column, form)).as_py():
+                    n[form] += many
             marked = ((t.cp >= 0x300) & (t.cp < 0x370)).nonzero()[0]
             for k in marked[marked > 0]:
                 pair = chr(t.cp[k - 1]) + chr(t.cp[k])
@@ -118,7 +124,9 @@ def rewriting(counts: dict[str, int]) -> dict[str, str]:
     smallest. The class of what prints nothing is represented by the empty string."""
     classes = Classes()
     for form in counts:
-        if len(form) == 2:
+        if len(form) > 1:
+            if not unicodedata.combining(form[1]):
+                continue
             flat = _base(form)
             one = unicodedata.normalize("NFC", flat)
             classes.join(form, flat)
