@@ -1,10 +1,43 @@
 """Queries of the training-data operators, with their SQL where there is one."""
 from __future__ import annotations
 
-from lexiloom.llm import encoding, formatting, lookalike, mixing, splitting
+from pyspark.sql import functions as F
+
+from lexiloom.llm import cooccurrence, encoding, formatting, lookalike, markup, mixing, splitting
 from lexiloom.sources.tables import table
 
 
+#: Tails above this are no surprise. A lift of 6 at 5 joint records has about a tenth of it under the null.
+SURPRISE = 0.05
+
+
+def p2_found(spark, folder):
+    """English and French stems whose joint count is surprising under the fitted null, at least 5, and 6 times chance."""
+    pairs = cooccurrence.cooccurring(table(spark, folder, "pair_stems"), min_count=5, min_lift=6, discoveries=False)
+    exact = (F.col("n_ab") >= 5) & (F.col("n_ab") * F.col("n_records") >= 6 * F.col("n_a") * F.col("n_b"))
+    return pairs.where(F.col("p_value") <= SURPRISE).where(exact).select(F.concat(F.lit("en:"), "left").alias("item_a"), F.concat(F.lit("fr:"), "right").alias("item_b"))
+
+
+def p2_pairs(spark, folder):
+    """All pairs of an English and a French stem that occur together, with counts, lift, expectation, tail and q value."""
+    return cooccurrence.cooccurring(table(spark, folder, "pair_stems"))
+
+
+def p2_lexicon(spark, folder):
+    """Right values for the stored lexicon: counts and Dice score of every pair from 0.1 on, in both directions."""
+    return cooccurrence.translations(table(spark, folder, "pair_stems"))
+
+
+def p4_found(spark, folder):
+    """Headings, list items, code blocks and formulas of the book files."""
+    return markup.markup_elements(table(spark, folder, "book_interior"))
+
+
+def p4_clean(spark, folder):
+    """Clean text of the book files."""
+    return markup.markup_clean(table(spark, folder, "book_interior"))
+
+
 def p3_found(spark, folder):
     """Copies of aligned pairs that differ only in formatting or in which column holds which text."""
     return formatting.formatting_copies(table(spark, folder, "aligned_book"))
@@ -50,13 +83,23 @@ def p8_pieces(spark, folder):
     return splitting.split_texts(table(spark, folder, "documents"), table(spark, folder, "split_limits"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_records, p5_found, p5_unified, p6_ids, p6_round_trip, p7_mix, p7_report, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p2_lexicon, p3_found, p3_records, p4_found, p4_clean, p5_found, p5_unified, p6_ids, p6_round_trip, p7_mix, p7_report, p8_pieces)}
 
 _FOLD = r"regexp_replace(lower({0}), '[\s\p{{Z}}\p{{P}}]', '', 'g')"
 _RECORD = f"""(with folded as (select distinct row_id, coalesce('t' || {_FOLD.format('en')}, '') as a, coalesce('t' || {_FOLD.format('fr')}, '') as b from aligned_book where row_id is not null)
   select row_id, min(row_id) over (partition by least(a, b), greatest(a, b)) as first_id from folded)"""
 
+_STEMS = """(with t as (select distinct pair_id, 'en' as lang, unnest(stems_en) as stem from pair_stems where pair_id is not null
+    union select distinct pair_id, 'fr', unnest(stems_fr) from pair_stems where pair_id is not null), s as (select * from t where stem is not null),
+  f as (select lang, stem, count(*) as n from s group by all),
+  c as (select e.stem as en, r.stem as fr, count(*) as co from s e join s r on e.pair_id = r.pair_id and e.lang = 'en' and r.lang = 'fr' group by all)
+  select en, fr, co, x.n as n_en, y.n as n_fr, 2.0 * co / (x.n + y.n) as dice, (select count(distinct pair_id) from pair_stems) as total
+  from c join f x on x.lang = 'en' and x.stem = en join f y on y.lang = 'fr' and y.stem = fr)"""
+_ROW = "select {a} as source_stem, '{a}' as source_lang, {b} as target_stem, '{b}' as target_lang, cast(printf('%.4f', dice) as double) as score, co as co_occurrence_count, n_{a} as source_count, n_{b} as target_count from c2"
+
 ORACLES = {
+    "p2_found": f"select 'en:' || en as item_a, 'fr:' || fr as item_b from {_STEMS} where co >= 5 and co * total >= 6 * n_en * n_fr",
+    "p2_lexicon": f"with c2 as (select * from {_STEMS} where dice >= 0.1) {_ROW.format(a='en', b='fr')} union all {_ROW.format(a='fr', b='en')}",
     "p3_found": f"select first_id, row_id as copy_id from {_RECORD} where row_id <> first_id",
     "p3_records": f"select r.first_id, b.en, b.fr, count(*) as n_copies from {_RECORD} r join (select distinct row_id, en, fr from aligned_book) b on b.row_id = r.first_id group by all",
     "p6_round_trip": "select doc_id, coalesce(text, '') as text from documents",
