@@ -3,10 +3,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexiloom.llm import cooccurrence, encoding, formatting, lookalike, markup, mixing, splitting
+from lexiloom.llm import alignment, cooccurrence, encoding, formatting, lookalike, markup, mixing, splitting
 from lexiloom.sources.tables import table
 
 
+def p1_found(spark, folder):
+    """Segments of the two versions of a work that render one another."""
+    pairs = p1_aligned(spark, folder)
+    return pairs.select(F.least("segment_en", "segment_fr").alias("segment_a"), F.greatest("segment_en", "segment_fr").alias("segment_b"))
+
+
+def p1_aligned(spark, folder):
+    """The same pairs by language, with a score."""
+    return alignment.align(table(spark, folder, "books"), table(spark, folder, "segments"), table(spark, folder, "aligned_book"))
+
+
 #: Tails above this are no surprise. A lift of 6 at 5 joint records has about a tenth of it under the null.
 SURPRISE = 0.05
 
@@ -83,7 +94,7 @@ def p8_pieces(spark, folder):
     return splitting.split_texts(table(spark, folder, "documents"), table(spark, folder, "split_limits"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p2_lexicon, p3_found, p3_records, p4_found, p4_clean, p5_found, p5_unified, p6_ids, p6_round_trip, p7_mix, p7_report, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_aligned, p2_found, p2_pairs, p2_lexicon, p3_found, p3_records, p4_found, p4_clean, p5_found, p5_unified, p6_ids, p6_round_trip, p7_mix, p7_report, p8_pieces)}
 
 _FOLD = r"regexp_replace(lower({0}), '[\s\p{{Z}}\p{{P}}]', '', 'g')"
 _RECORD = f"""(with folded as (select distinct row_id, coalesce('t' || {_FOLD.format('en')}, '') as a, coalesce('t' || {_FOLD.format('fr')}, '') as b from aligned_book where row_id is not null)
