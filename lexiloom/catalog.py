@@ -1,3 +1,307 @@
-"""Queries by name, with their SQL where there is one."""
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""The engine's queries by name, each over whole tables, with the same results as SQL where SQL can express them."""
+from __future__ import annotations
+
+import os
+import tempfile
+
+from pyspark.sql import functions as F
+
+from lexiloom.functions import text as T
+from lexiloom.functions.lexicons import LANGUAGES
+from lexiloom.operators import highlight, ingest, lexicon, retrieval, search
+from lexiloom.plans.oracles import ORACLES
+from lexiloom.plans.samples import sample_queries
+from lexiloom.sources import files
+from lexiloom.sources.tables import table
+
+
+def _docs(spark, folder):
+    return ingest.pairs(table(spark, folder, "aligned_book"))
+
+
+def _rows(spark, folder):
+    return ingest.by_language(_docs(spark, folder))
+
+
+def _held(spark, folder):
+    return lexicon.memberships(lexicon.stems(_texts(spark, folder), "row_id"), "row_id")
+
+
+def _texts(spark, folder):
+    """Kept rows under their row_id: the lexicon needs pairs told apart, not numbered."""
+    return ingest.clean_rows(table(spark, folder, "aligned_book")).select("row_id", "text_en", "text_fr")
+
+
+def pairs_view(spark, folder):
+    """Trimmed rows with neither side empty."""
+    return ingest.clean_rows(table(spark, folder, "aligned_book")).select("row_id", "text_en", "text_fr")
+
+
+def pair_ids(spark, folder):
+    """Pair documents with consecutive ids."""
+    return _docs(spark, folder)
+
+
+def unpivot_by_lang(spark, folder):
+    """Each pair as source in either language."""
+    return _rows(spark, folder)
+
+
+def nonempty_filter(spark, folder):
+    """How many rows each ingest path keeps."""
+    rows = table(spark, folder, "aligned_book")
+    parts = [ingest.clean_rows(rows, mode).agg(F.count(F.lit(1)).alias("n")).select(F.lit(mode).alias("mode"), "n") for mode in ingest.MODES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def book_segment_expand(spark, folder):
+    """Segments of the relational store after one import."""
+    return ingest.store(_docs(spark, folder), ingest.BOOK_TITLE)["segments"]
+
+
+def alignment_expand(spark, folder):
+    """Alignments of the relational store after one import."""
+    return ingest.store(_docs(spark, folder), ingest.BOOK_TITLE)["alignments"]
+
+
+def alignment_pairs(spark, folder):
+    """Stored alignments joined with both their segments."""
+    return ingest.stored_pairs(table(spark, folder, "alignments"), table(spark, folder, "segments"))
+
+
+def _surfaces(spark, folder):
+    sides = F.inline(F.array(*(F.struct(F.lit(x).alias("lang"), T.words(F.col(f"text_{x}")).alias("words")) for x in LANGUAGES)))
+    return _texts(spark, folder).select(sides).select("lang", F.explode("words").alias("word")).distinct()
+
+
+def clean_tokens(spark, folder):
+    """Every distinct word and what is left of it."""
+    return _surfaces(spark, folder).select("word", T.clean(F.col("word")).alias("clean"), T.display(F.col("word")).alias("shown")).distinct()
+
+
+def strip_accents(spark, folder):
+    """Every distinct cleaned word without accents."""
+    return _surfaces(spark, folder).select(T.clean(F.col("word")).alias("clean")).distinct().select("clean", T.strip_accents(F.col("clean")).alias("bare"))
+
+
+def stop_filter(spark, folder):
+    """Distinct cleaned words that are neither short nor stop words."""
+    words = _surfaces(spark, folder).select("lang", T.clean(F.col("word")).alias("clean")).distinct()
+    return words.where((F.length("clean") >= 2) & ~T.by_language(F.col("lang"), lambda x: T.is_stop(F.col("clean"), x)))
+
+
+def stem_en(spark, folder):
+    """Every distinct cleaned word's English stem."""
+    return _surfaces(spark, folder).select(T.clean(F.col("word")).alias("clean")).distinct().select("clean", F.when(F.length("clean") < 2, "").otherwise(T.stem_en(F.col("clean"))).alias("stem"))
+
+
+def stem_fr(spark, folder):
+    """Every distinct cleaned word's French stem."""
+    return _surfaces(spark, folder).select(T.clean(F.col("word")).alias("clean")).distinct().withColumn("bare", T.strip_accents(F.col("clean"))).select("clean", F.when(F.length("clean") < 2, "").otherwise(T.stem_fr(F.col("bare"))).alias("stem"))
+
+
+def tokenize_stem(spark, folder):
+    """Stems and surfaces of every text, in order."""
+    return lexicon.stems(_texts(spark, folder), "row_id")
+
+
+def sentence_stem_freq_en(spark, folder):
+    """In how many pairs each English stem occurs."""
+    return lexicon.frequencies(_held(spark, folder)).where("lang = 'en'").select("stem", "n")
+
+
+def sentence_stem_freq_fr(spark, folder):
+    """In how many pairs each French stem occurs."""
+    return lexicon.frequencies(_held(spark, folder)).where("lang = 'fr'").select("stem", "n")
+
+
+def cooccurrence(spark, folder):
+    """In how many pairs two stems stand together."""
+    return lexicon.cooccurrence(_held(spark, folder), "row_id")
+
+
+def dice_lexicon(spark, folder):
+    """The translation lexicon, both directions."""
+    return lexicon.lexicon(_texts(spark, folder), "row_id")
+
+
+def store_lexicon(spark, folder):
+    """The translation lexicon of the stored alignments."""
+    return lexicon.lexicon(alignment_pairs(spark, folder).withColumn("pair_id", F.xxhash64("pair_id", "text_en", "text_fr")).distinct())
+
+
+def stem_forms(spark, folder):
+    """Surface forms of each stem."""
+    return lexicon.stem_forms(_texts(spark, folder), "row_id")
+
+
+def lexicon_entry_count(spark, folder):
+    """How many entries the lexicon has."""
+    return dice_lexicon(spark, folder).agg(F.count(F.lit(1)).alias("n_entries"))
+
+
+def hints_top5(spark, folder):
+    """Best five translations of each query word in the derived lexicon."""
+    return lexicon.lookup(sample_queries(spark), dice_lexicon(spark, folder))
+
+
+def hints_surface_forms(spark, folder):
+    """Surface forms of the best translations, in order."""
+    return lexicon.hints(sample_queries(spark), dice_lexicon(spark, folder), stem_forms(spark, folder))
+
+
+def stored_hints(spark, folder):
+    """The same over the stored lexicon and stem forms."""
+    return lexicon.hints(sample_queries(spark), table(spark, folder, "word_translations"), table(spark, folder, "stem_forms"))
+
+
+def _measured(spark, folder):
+    """Stem pairs of the lexicon, as word pairs to compare."""
+    return dice_lexicon(spark, folder).where("source_lang = 'en'").select(F.col("source_stem").alias("a"), F.col("target_stem").alias("b"))
+
+
+def bigram_jaccard(spark, folder):
+    """Bigram similarity of the lexicon's stem pairs."""
+    return _measured(spark, folder).select("a", "b", T.bigram_similarity(F.col("a"), F.col("b")).alias("similarity"))
+
+
+def length_ratio(spark, folder):
+    """Length ratio of the lexicon's stem pairs."""
+    return _measured(spark, folder).select("a", "b", T.length_ratio(F.col("a"), F.col("b")).alias("ratio"))
+
+
+def position_similarity(spark, folder):
+    """Likeness of place of the first and the last word of both texts of a pair."""
+    n_en, n_fr = F.size(T.words(F.col("text_en"))), F.size(T.words(F.col("text_fr")))
+    return _texts(spark, folder).select("row_id", (1.0 - F.abs((n_en - 1) / n_en - (n_fr - 1) / n_fr)).alias("last_similarity"), (1.0 - F.abs((n_en - 1) / n_en - F.lit(0.0))).alias("ends_similarity"))
+
+
+def adjective_flag(spark, folder):
+    """Whether each distinct word is an adjective of its language."""
+    words = _surfaces(spark, folder).select("lang", T.clean(F.col("word")).alias("clean")).distinct()
+    return words.select("lang", "clean", T.by_language(F.col("lang"), lambda x: T.is_adjective(F.col("clean"), x)).alias("adjective"))
+
+
+def postings(spark, folder):
+    """Analysed terms with their positions in every pair."""
+    return retrieval.postings(_rows(spark, folder))
+
+
+def term_stats(spark, folder):
+    """Document frequency of each term, with the collection's figures."""
+    rows = _rows(spark, folder)
+    posted = retrieval.postings(rows)
+    whole = retrieval.collection(rows, posted)
+    return retrieval.term_stats(retrieval.term_frequencies(posted)).join(whole, "lang").select("lang", "term", "df", "n_docs", T.rounded(F.col("avg_dl"), 6).alias("avg_dl"))
+
+
+def _scored(spark, folder):
+    rows, asked = _rows(spark, folder), retrieval.query_terms(sample_queries(spark))
+    posted = retrieval.postings(rows)
+    tf = retrieval.term_frequencies(posted)
+    stats, whole = retrieval.term_stats(tf), retrieval.collection(rows, posted)
+    return asked, retrieval.term_scores(asked, tf, retrieval.lengths(posted), stats, whole), posted, stats
+
+
+def bm25_terms(spark, folder):
+    """Score of each query term in each pair."""
+    return _scored(spark, folder)[1].withColumn("score", T.rounded(F.col("score"), 6))
+
+
+def min_should_match(spark, folder):
+    """Pairs in which enough of a query's terms match, with the summed score."""
+    asked, scored, _, _ = _scored(spark, folder)
+    return retrieval.text_scores(scored, asked).withColumn("score", T.rounded(F.col("score"), 6))
+
+
+def phrase_slop1(spark, folder):
+    """Pairs that have a query as a phrase, one step of displacement allowed."""
+    asked, _, posted, _ = _scored(spark, folder)
+    return retrieval.phrases(asked, posted)
+
+
+def fuzzy_terms(spark, folder):
+    """Vocabulary terms within the spelling tolerance of the query terms."""
+    asked, _, _, stats = _scored(spark, folder)
+    return retrieval.expansions(asked, stats)
+
+
+def hybrid_topk(spark, folder):
+    """Each query's best pairs."""
+    return retrieval.ranked(sample_queries(spark), _rows(spark, folder))
+
+
+def _hits(spark, folder):
+    return search.hits(search.checked(sample_queries(spark)), _docs(spark, folder))
+
+
+def word_position(spark, folder):
+    """Where the first and the last query word stand in each hit."""
+    return highlight.with_positions(highlight.analysed(_hits(spark, folder))).select("query_id", "rank", "first_pos", "last_pos")
+
+
+def _hinted(spark, folder):
+    texts = _texts(spark, folder)
+    hints = lexicon.hints(sample_queries(spark), lexicon.lexicon(texts, "row_id"), lexicon.stem_forms(texts, "row_id"))
+    return _hits(spark, folder).join(lexicon.hint_lists(hints), "query_id", "left")
+
+
+def highlight_hint(spark, folder):
+    """The word of each hit that a hint marks."""
+    found = highlight.analysed(_hinted(spark, folder))
+    return found.select("query_id", "rank", highlight.hint_match(F.col("hints"), F.col("target"), F.col("lang")).alias("hint"))
+
+
+def highlight_single(spark, folder):
+    """The word of each hit that place and likeness choose for one-word queries."""
+    return highlight.single(highlight.candidates(highlight.with_positions(highlight.analysed(_hits(spark, folder))))).where(F.size("asked") == 1).select("query_id", "rank", F.col("one").alias("word"))
+
+
+def highlight_phrase(spark, folder):
+    """The words of each hit that a phrase maps to."""
+    found = highlight.phrase(highlight.with_positions(highlight.analysed(_hits(spark, folder))))
+    return found.where(F.size("asked") > 1).select("query_id", "rank", F.array_join(F.coalesce("many", F.array().cast("array<string>")), "|").alias("words"))
+
+
+def source_mark(spark, folder):
+    """The text of each hit with the matched words marked."""
+    return _hits(spark, folder).select("query_id", "rank", "text", "text_highlighted")
+
+
+def search_results(spark, folder):
+    """The whole search: hits with translations highlighted."""
+    texts = _texts(spark, folder)
+    return search.search(sample_queries(spark), _docs(spark, folder), lexicon.lexicon(texts, "row_id"), lexicon.stem_forms(texts, "row_id"))
+
+
+def search_response(spark, folder):
+    """The JSON response of each query."""
+    return search.responses(sample_queries(spark), search_results(spark, folder))
+
+
+def csv_import(spark, folder):
+    """aligned_book written as CSV and imported again: kept rows, without order."""
+    where = tempfile.mkdtemp(prefix="csv-", dir=_shared(spark))
+    table(spark, folder, "aligned_book").select("en", "fr").write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).option("emptyValue", "").option("nullValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"file://{where}/csv")
+    return ingest.clean_rows(files.read_aligned_csv(spark, f"file://{where}/csv")).select("text_en", "text_fr")
+
+
+def _shared(spark) -> str | None:
+    """The shared checkpoint folder, where it is a folder of the file system; None leaves it to tempfile, as in tests."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder and (folder.startswith("file:") or folder.startswith("/")):
+        path = folder.removeprefix("file://").removeprefix("file:")
+        os.makedirs(path, exist_ok=True)
+        return path
+    return None
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        pairs_view, pair_ids, unpivot_by_lang, nonempty_filter, book_segment_expand, alignment_expand, alignment_pairs, clean_tokens, strip_accents, stop_filter, stem_en, stem_fr, tokenize_stem,
+        sentence_stem_freq_en, sentence_stem_freq_fr, cooccurrence, dice_lexicon, store_lexicon, stem_forms, lexicon_entry_count, hints_top5, hints_surface_forms, stored_hints, bigram_jaccard,
+        length_ratio, position_similarity, adjective_flag, postings, term_stats, bm25_terms, min_should_match, phrase_slop1, fuzzy_terms, hybrid_topk, word_position, highlight_hint,
+        highlight_single, highlight_phrase, source_mark, search_results, search_response, csv_import,
+    )
+}
