@@ -12,11 +12,11 @@ from lexiloom.operators import highlight, ingest, lexicon, retrieval, search
 from lexiloom.plans.oracles import ORACLES
 from lexiloom.plans.samples import sample_queries
 from lexiloom.sources import files
-from lexiloom.sources.tables import table
+from lexiloom.sources.tables import spread, table
 
 
 def _docs(spark, folder):
-    return ingest.pairs(table(spark, folder, "aligned_book"))
+    return ingest.pairs(spread(table(spark, folder, "aligned_book")))
 
 
 def _rows(spark, folder):
@@ -29,7 +29,7 @@ def _held(spark, folder):
 
 def _texts(spark, folder):
     """Kept rows under their row_id: the lexicon needs pairs told apart, not numbered."""
-    return ingest.clean_rows(table(spark, folder, "aligned_book")).select("row_id", "text_en", "text_fr")
+    return ingest.clean_rows(spread(table(spark, folder, "aligned_book"))).select("row_id", "text_en", "text_fr")
 
 
 def pairs_view(spark, folder):
@@ -189,50 +189,44 @@ def postings(spark, folder):
 
 def term_stats(spark, folder):
     """Document frequency of each term, with the collection's figures."""
-    rows = _rows(spark, folder)
-    posted = retrieval.postings(rows)
-    whole = retrieval.collection(rows, posted)
-    return retrieval.term_stats(retrieval.term_frequencies(posted)).join(whole, "lang").select("lang", "term", "df", "n_docs", T.rounded(F.col("avg_dl"), 6).alias("avg_dl"))
+    index = retrieval.build(_rows(spark, folder))
+    return index.stats.join(index.whole, "lang").select("lang", "term", "df", "n_docs", T.rounded(F.col("avg_dl"), 6).alias("avg_dl"))
 
 
-def _scored(spark, folder):
-    rows, asked = _rows(spark, folder), retrieval.query_terms(sample_queries(spark))
-    posted = retrieval.postings(rows)
-    tf = retrieval.term_frequencies(posted)
-    stats, whole = retrieval.term_stats(tf), retrieval.collection(rows, posted)
-    return asked, retrieval.term_scores(asked, tf, retrieval.lengths(posted), stats, whole), posted, stats
+def _asked(spark, folder):
+    return retrieval.query_terms(sample_queries(spark)), retrieval.build(_rows(spark, folder))
 
 
 def bm25_terms(spark, folder):
     """Score of each query term in each pair."""
-    return _scored(spark, folder)[1].withColumn("score", T.rounded(F.col("score"), 6))
+    return retrieval.term_scores(*_asked(spark, folder)).withColumn("score", T.rounded(F.col("score"), 6))
 
 
 def min_should_match(spark, folder):
     """Pairs in which enough of a query's terms match, with the summed score."""
-    asked, scored, _, _ = _scored(spark, folder)
-    return retrieval.text_scores(scored, asked).withColumn("score", T.rounded(F.col("score"), 6))
+    asked, index = _asked(spark, folder)
+    return retrieval.text_scores(retrieval.term_scores(asked, index), asked).withColumn("score", T.rounded(F.col("score"), 6))
 
 
 def phrase_slop1(spark, folder):
     """Pairs that have a query as a phrase, one step of displacement allowed."""
-    asked, _, posted, _ = _scored(spark, folder)
-    return retrieval.phrases(asked, posted)
+    asked, index = _asked(spark, folder)
+    return retrieval.phrases(asked, index.posted)
 
 
 def fuzzy_terms(spark, folder):
     """Vocabulary terms within the spelling tolerance of the query terms."""
-    asked, _, _, stats = _scored(spark, folder)
-    return retrieval.expansions(asked, stats)
+    asked, index = _asked(spark, folder)
+    return retrieval.expansions(asked, index.stats)
 
 
 def hybrid_topk(spark, folder):
     """Each query's best pairs."""
-    return retrieval.ranked(sample_queries(spark), _rows(spark, folder))
+    return retrieval.ranked(sample_queries(spark), retrieval.build(_rows(spark, folder)))
 
 
 def _hits(spark, folder):
-    return search.hits(search.checked(sample_queries(spark)), _docs(spark, folder))
+    return search.hits(search.checked(sample_queries(spark)), retrieval.build(_rows(spark, folder)))
 
 
 def word_position(spark, folder):

@@ -141,17 +141,32 @@ def rounded(c: Column, places: int) -> Column:
     return F.call_function("format_number", c, F.lit("0." + "0" * places)).cast("double")
 
 
-def terms(c: Column, lang: Column) -> Column:
-    """Analysis for retrieval: array of (term, position) of a text in the language of a column.
+def prepared(c: Column) -> Column:
+    """Array of (idx, surface, bare) of a text's words: cleaned, and cleaned without accents; a word of signs alone is empty.
 
-    Runs of letters and digits in lower case; in French the elided word before an apostrophe goes; stop words go but keep
-    their positions; the rest is stemmed. It differs from `words`, which keeps hyphens and apostrophes together."""
+    Cleaning runs once over the whole text, not word by word. The result is meant to become rows before any rule is applied,
+    so that rules see plain columns: a filter that Catalyst pushes down would otherwise repeat the cleaning in every branch."""
+    surface = lower_words(c)
+    both = F.arrays_zip(F.split(surface, " ").alias("surface"), F.split(strip_accents(surface), " ").alias("bare"))
+    return F.transform(both, lambda x, i: F.struct(i.alias("idx"), x["surface"].alias("surface"), x["bare"].alias("bare")))
+
+
+def lower_words(c: Column) -> Column:
+    """The text's cleaned words with one blank between them."""
+    return F.lower(F.regexp_replace(F.regexp_replace(trim(c), f"{WHITE}+", " "), r"[^\p{L}\p{N}_ ]", ""))
+
+
+def analysed(c: Column, lang: Column) -> Column:
+    """Array of (position, word, bare) of a text as retrieval sees it, in the language of a column.
+
+    Runs of letters and digits in lower case; in French the elided word before an apostrophe goes. It differs from `words`,
+    which keeps hyphens and apostrophes together."""
     low = F.lower(c)
     text = F.when(lang == "en", low).otherwise(F.regexp_replace(low, rf"(^|[^\p{{L}}\p{{N}}])(?:{'|'.join(ELISIONS)})['’]", "$1"))
-    parts = F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    placed = F.transform(parts, lambda x, i: F.struct(x.alias("word"), strip_accents(x).alias("bare"), i.alias("position")))
-    kept = F.filter(placed, lambda x: ~is_stop_bare(x["bare"], lang))
-    return F.transform(kept, lambda x: F.struct(stem_prepared(x["word"], x["bare"], lang).alias("term"), x["position"].alias("position")))
+    plain = F.btrim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    both = F.arrays_zip(F.split(plain, " ").alias("word"), F.split(strip_accents(plain), " ").alias("bare"))
+    placed = F.transform(both, lambda x, i: F.struct(i.alias("position"), x["word"].alias("word"), x["bare"].alias("bare")))
+    return F.filter(placed, lambda x: x["word"] != "")
 
 
 def escape_html(c: Column) -> Column:

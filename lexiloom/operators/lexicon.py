@@ -13,18 +13,9 @@ LEAST_DICE = 0.1
 LOOKUP_LIMIT = 5
 
 
-def prepared(words: Column) -> Column:
-    """Array of (idx, surface, bare) of words: cleaned, and cleaned without accents.
-
-    It is worked out before the words become rows, so that rules on rows see plain columns: a filter that Catalyst pushes
-    down would otherwise repeat the cleaning in every branch of a rule."""
-    cleaned = F.transform(words, T.clean)
-    return F.transform(cleaned, lambda x, i: F.struct(i.alias("idx"), x.alias("surface"), T.strip_accents(x).alias("bare")))
-
-
 def tokens(docs: DataFrame, key: str = "pair_id") -> DataFrame:
     """(key, lang, idx, surface, bare) of both texts' words, idx from 0; surface has letters, digits and underscores, in lower case."""
-    sides = F.array(*(F.struct(F.lit(x).alias("lang"), prepared(T.words(F.col(f"text_{x}"))).alias("words")) for x in LANGUAGES))
+    sides = F.array(*(F.struct(F.lit(x).alias("lang"), T.prepared(F.col(f"text_{x}")).alias("words")) for x in LANGUAGES))
     return docs.select(key, F.inline(sides)).select(key, "lang", F.inline("words"))
 
 
@@ -72,7 +63,7 @@ def stem_forms(docs: DataFrame, key: str = "pair_id") -> DataFrame:
 
 def query_words(queries: DataFrame) -> DataFrame:
     """(query_id, lang, word_idx, word, stem) of the words of at least two signs of each query, stop words included."""
-    placed = queries.select("query_id", "lang", F.inline(prepared(T.words(F.col("q"))))).where(F.length("surface") >= 2)
+    placed = queries.select("query_id", "lang", F.inline(T.prepared(F.col("q")))).where(F.length("surface") >= 2)
     return placed.select("query_id", "lang", F.col("idx").alias("word_idx"), F.col("surface").alias("word"), T.stem_prepared(F.col("surface"), F.col("bare"), F.col("lang")).alias("stem"))
 
 

@@ -6,19 +6,27 @@ Everything is equi-joins on terms and grouped sums; only the vocabulary meets th
 """
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
-from lexiloom.functions.lexicons import LANGUAGES
+from lexiloom.plans.staging import cut
 
 K1, B = 1.2, 0.75
 PHRASE_BOOST, TEXT_BOOST, PHRASE_SLOP, SHOULD_MATCH = 4.0, 3.0, 1, 0.6
 
 
+def _terms(words: DataFrame) -> DataFrame:
+    """Words (lang, position, word, bare) that aren't stop words, as terms."""
+    kept = words.where(~T.is_stop_bare(F.col("bare"), F.col("lang")))
+    return kept.withColumn("term", T.stem_prepared(F.col("word"), F.col("bare"), F.col("lang"))).drop("word", "bare")
+
+
 def postings(rows: DataFrame) -> DataFrame:
     """(lang, pair_id, term, position) of the rows of by_language."""
-    return rows.select("lang", "pair_id", F.inline(T.terms(F.col("text"), F.col("lang"))))
+    return _terms(rows.select("lang", "pair_id", F.inline(T.analysed(F.col("text"), F.col("lang")))))
 
 
 def term_frequencies(posted: DataFrame) -> DataFrame:
@@ -50,9 +58,29 @@ def saturated(freq: Column, dl: Column, avg_dl: Column) -> Column:
     return freq * (K1 + 1) / (freq + K1 * (1 - B + B * dl / avg_dl))
 
 
+@dataclass
+class Index:
+    """The inverted index of a collection: its rows, positions, frequencies, lengths, vocabulary and figures."""
+
+    rows: DataFrame
+    posted: DataFrame
+    tf: DataFrame
+    dl: DataFrame
+    stats: DataFrame
+    whole: DataFrame
+
+
+def build(rows: DataFrame) -> Index:
+    """Index of the rows of by_language. Rows and positions are written once, and all else is counted from them."""
+    rows = cut(rows)
+    posted = cut(postings(rows))
+    tf = cut(term_frequencies(posted))
+    return Index(rows, posted, tf, lengths(posted), cut(term_stats(tf)), cut(collection(rows, posted)))
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, lang, term, position, n_terms); n_terms counts the query's distinct terms."""
-    found = queries.select("query_id", "lang", F.inline(T.terms(F.col("q"), F.col("lang"))))
+    found = _terms(queries.select("query_id", "lang", F.inline(T.analysed(F.col("q"), F.col("lang")))))
     n = found.groupBy("query_id").agg(F.count_distinct("term").alias("n_terms"))
     return found.join(n, "query_id")
 
@@ -73,9 +101,9 @@ def expansions(asked: DataFrame, stats: DataFrame) -> DataFrame:
     return spread.join(known, ["lang", "len"]).withColumn("edits", F.levenshtein("qterm", "term")).where(F.col("edits") <= F.col("most")).select("query_id", "lang", "qterm", "term", "edits", "df")
 
 
-def term_scores(asked: DataFrame, tf: DataFrame, dl: DataFrame, stats: DataFrame, whole: DataFrame) -> DataFrame:
+def term_scores(asked: DataFrame, index: Index) -> DataFrame:
     """(query_id, lang, pair_id, qterm, score): a query term's best expansion in each pair, less for each edit."""
-    hits = expansions(asked, stats).join(tf, ["lang", "term"]).join(dl, ["lang", "pair_id"]).join(whole, "lang")
+    hits = expansions(asked, index.stats).join(index.tf, ["lang", "term"]).join(index.dl, ["lang", "pair_id"]).join(index.whole, "lang")
     near = 1 - F.col("edits") / F.least(F.length("qterm"), F.length("term"))
     score = idf(F.col("n_docs"), F.col("df")) * saturated(F.col("tf"), F.col("dl"), F.col("avg_dl")) * near
     return hits.withColumn("score", score).groupBy("query_id", "lang", "pair_id", "qterm").agg(F.max("score").alias("score"))
@@ -100,39 +128,36 @@ def phrases(asked: DataFrame, posted: DataFrame) -> DataFrame:
     return whole.groupBy("query_id", "lang", "pair_id").agg(F.sum(F.when(F.col("exact") == F.col("m"), 1.0).otherwise(0.5)).alias("freq"))
 
 
-def phrase_scores(asked: DataFrame, found: DataFrame, dl: DataFrame, stats: DataFrame, whole: DataFrame) -> DataFrame:
+def phrase_scores(asked: DataFrame, found: DataFrame, index: Index) -> DataFrame:
     """(query_id, lang, pair_id, score): BM25 with the phrase's frequency and the sum of its terms' idf."""
-    weight = asked.select("query_id", "lang", "term", "position").distinct().join(stats, ["lang", "term"]).join(whole, "lang").groupBy("query_id").agg(F.sum(idf(F.col("n_docs"), F.col("df"))).alias("idf"))
-    return found.join(weight, "query_id").join(dl, ["lang", "pair_id"]).join(whole, "lang").select("query_id", "lang", "pair_id", (F.col("idf") * saturated(F.col("freq"), F.col("dl"), F.col("avg_dl"))).alias("score"))
+    weight = asked.select("query_id", "lang", "term", "position").distinct().join(index.stats, ["lang", "term"]).join(index.whole, "lang").groupBy("query_id").agg(F.sum(idf(F.col("n_docs"), F.col("df"))).alias("idf"))
+    return found.join(weight, "query_id").join(index.dl, ["lang", "pair_id"]).join(index.whole, "lang").select("query_id", "lang", "pair_id", (F.col("idf") * saturated(F.col("freq"), F.col("dl"), F.col("avg_dl"))).alias("score"))
 
 
-def field_scores(queries: DataFrame, rows: DataFrame, whole: DataFrame) -> DataFrame:
+def field_scores(queries: DataFrame, index: Index) -> DataFrame:
     """(query_id, lang, pair_id, score): texts that equal the query as a whole but for case and accents, within the spelling tolerance.
 
     Only texts about as long as the query are compared."""
     asked = queries.select("query_id", "lang", T.fold(T.trim(F.col("q"))).alias("qfield")).where("qfield <> ''")
     edits = allowed_edits(F.length("qfield"))
     spread = asked.withColumn("most", edits).withColumn("len", F.explode(F.sequence(F.length("qfield") - edits, F.length("qfield") + edits)))
-    fields = rows.select("lang", "pair_id", T.fold(F.col("text")).alias("field"))
+    fields = index.rows.select("lang", "pair_id", T.fold(F.col("text")).alias("field"))
     near = spread.join(fields.withColumn("len", F.length("field")), ["lang", "len"]).withColumn("edits", F.levenshtein("qfield", "field")).where(F.col("edits") <= F.col("most"))
     df = near.select("lang", "field", "pair_id").distinct().groupBy("lang", "field").agg(F.count(F.lit(1)).alias("df"))
     score = idf(F.col("n_docs"), F.col("df")) * (1 - F.col("edits") / F.least(F.length("qfield"), F.length("field")))
-    return near.join(df, ["lang", "field"]).join(whole, "lang").select("query_id", "lang", "pair_id", score.alias("score"))
+    return near.join(df, ["lang", "field"]).join(index.whole, "lang").select("query_id", "lang", "pair_id", score.alias("score"))
 
 
-def ranked(queries: DataFrame, rows: DataFrame) -> DataFrame:
+def ranked(queries: DataFrame, index: Index) -> DataFrame:
     """(query_id, lang, pair_id, position, score, rank): each query's best pairs, at most its limit.
 
     queries: (query_id, q, lang, limit). A pair needs a phrase, enough terms, or the whole field."""
-    posted = postings(rows)
-    tf, dl = term_frequencies(posted), lengths(posted)
-    stats, whole, asked = term_stats(tf), collection(rows, posted), query_terms(queries)
-    terms = text_scores(term_scores(asked, tf, dl, stats, whole), asked).select("query_id", "lang", "pair_id", (TEXT_BOOST * F.col("score")).alias("score"))
-    field = field_scores(queries, rows, whole)
-    best = terms.unionByName(field).groupBy("query_id", "lang", "pair_id").agg(F.max("score").alias("score"))
-    phrase = phrase_scores(asked, phrases(asked, posted), dl, stats, whole).withColumn("score", PHRASE_BOOST * F.col("score"))
+    asked = query_terms(queries)
+    terms = text_scores(term_scores(asked, index), asked).select("query_id", "lang", "pair_id", (TEXT_BOOST * F.col("score")).alias("score"))
+    best = terms.unionByName(field_scores(queries, index)).groupBy("query_id", "lang", "pair_id").agg(F.max("score").alias("score"))
+    phrase = phrase_scores(asked, phrases(asked, index.posted), index).withColumn("score", PHRASE_BOOST * F.col("score"))
     total = best.unionByName(phrase).groupBy("query_id", "lang", "pair_id").agg(T.rounded(F.sum("score"), 6).alias("score"))
-    placed = total.join(rows.select("lang", "pair_id", "position"), ["lang", "pair_id"])
+    placed = total.join(index.rows.select("lang", "pair_id", "position"), ["lang", "pair_id"])
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "position")
     return placed.withColumn("rank", F.row_number().over(order)).join(queries.select("query_id", "limit"), "query_id").where("rank <= limit").select("query_id", "lang", "pair_id", "position", "score", "rank")
 

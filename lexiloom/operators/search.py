@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import text as T
 from lexiloom.functions.lexicons import LANGUAGES
 from lexiloom.operators import highlight, ingest, lexicon, retrieval
+from lexiloom.plans.staging import cut
 
 DEFAULT_LANG, DEFAULT_LIMIT = "en", 20
 
@@ -27,14 +28,12 @@ def checked(queries: DataFrame, on_error: str = "raise") -> DataFrame:
     return filled.withColumn("q", T.trim(F.col("q")))
 
 
-def hits(queries: DataFrame, docs: DataFrame) -> DataFrame:
+def hits(queries: DataFrame, index: retrieval.Index) -> DataFrame:
     """Each query's ranked pairs with texts and ids, and text_highlighted: the text with matched words marked."""
-    rows = ingest.by_language(docs)
-    best = retrieval.ranked(queries, rows)
-    asked = retrieval.query_terms(queries)
-    terms = retrieval.matched_terms(asked, retrieval.term_stats(retrieval.term_frequencies(retrieval.postings(rows))))
-    found = best.join(rows.drop("position"), ["lang", "pair_id"]).join(queries.select("query_id", "q"), "query_id").join(terms, "query_id", "left")
-    return found.withColumn("text_highlighted", retrieval.marked(F.col("text"), F.col("lang"), F.coalesce("terms", F.array().cast("array<string>")))).drop("terms")
+    best = cut(retrieval.ranked(queries, index))
+    terms = retrieval.matched_terms(retrieval.query_terms(queries), index.stats)
+    found = index.rows.drop("position").join(best, ["lang", "pair_id"]).join(queries.select("query_id", "q"), "query_id").join(terms, "query_id", "left")
+    return cut(found.withColumn("text_highlighted", retrieval.marked(F.col("text"), F.col("lang"), F.coalesce("terms", F.array().cast("array<string>")))).drop("terms"))
 
 
 def search(queries: DataFrame, docs: DataFrame, entries: DataFrame | None = None, forms: DataFrame | None = None, on_error: str = "raise") -> DataFrame:
@@ -46,7 +45,7 @@ def search(queries: DataFrame, docs: DataFrame, entries: DataFrame | None = None
     asked = checked(queries, on_error)
     entries = lexicon.lexicon(docs) if entries is None else entries
     forms = lexicon.stem_forms(docs) if forms is None else forms
-    found = hits(asked, docs).join(lexicon.hint_lists(lexicon.hints(asked, entries, forms)), "query_id", "left")
+    found = hits(asked, retrieval.build(ingest.by_language(docs))).join(lexicon.hint_lists(lexicon.hints(asked, entries, forms)), "query_id", "left")
     return highlight.highlights(found).select(
         "query_id", F.col("q").alias("query"), "lang", "rank", "segment_id", "book_id", F.coalesce("book_title", F.lit("")).alias("book_title"), F.col("lang").alias("language"), "text", "text_highlighted",
         F.nullif("alignment_text", F.lit("")).alias("alignment_text"), F.col("alignment_lang").alias("alignment_language"), "alignment_id", "alignment_highlights",
