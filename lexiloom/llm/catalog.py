@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexiloom.llm import alignment, cooccurrence, encoding, formatting, lookalike, markup, mixing, splitting
-from lexiloom.sources.tables import table
+from lexiloom.sources.tables import spread, table
 
 
 def p1_found(spark, folder):
@@ -15,7 +15,7 @@ def p1_found(spark, folder):
 
 def p1_aligned(spark, folder):
     """The same pairs by language, with a score."""
-    return alignment.align(table(spark, folder, "books"), table(spark, folder, "segments"), table(spark, folder, "aligned_book"))
+    return alignment.align(table(spark, folder, "books"), spread(table(spark, folder, "segments")), spread(table(spark, folder, "aligned_book")))
 
 
 #: Tails above this are no surprise. A lift of 6 at 5 joint records has about a tenth of it under the null.
@@ -24,54 +24,54 @@ SURPRISE = 0.05
 
 def p2_found(spark, folder):
     """English and French stems whose joint count is surprising under the fitted null, at least 5, and 6 times chance."""
-    pairs = cooccurrence.cooccurring(table(spark, folder, "pair_stems"), min_count=5, min_lift=6, discoveries=False)
+    pairs = cooccurrence.cooccurring(spread(table(spark, folder, "pair_stems")), min_count=5, min_lift=6, discoveries=False)
     exact = (F.col("n_ab") >= 5) & (F.col("n_ab") * F.col("n_records") >= 6 * F.col("n_a") * F.col("n_b"))
     return pairs.where(F.col("p_value") <= SURPRISE).where(exact).select(F.concat(F.lit("en:"), "left").alias("item_a"), F.concat(F.lit("fr:"), "right").alias("item_b"))
 
 
 def p2_pairs(spark, folder):
     """All pairs of an English and a French stem that occur together, with counts, lift, expectation, tail and q value."""
-    return cooccurrence.cooccurring(table(spark, folder, "pair_stems"))
+    return cooccurrence.cooccurring(spread(table(spark, folder, "pair_stems")))
 
 
 def p2_lexicon(spark, folder):
     """Right values for the stored lexicon: counts and Dice score of every pair from 0.1 on, in both directions."""
-    return cooccurrence.translations(table(spark, folder, "pair_stems"))
+    return cooccurrence.translations(spread(table(spark, folder, "pair_stems")))
 
 
 def p4_found(spark, folder):
     """Headings, list items, code blocks and formulas of the book files."""
-    return markup.markup_elements(table(spark, folder, "book_interior"))
+    return markup.markup_elements(spread(table(spark, folder, "book_interior")))
 
 
 def p4_clean(spark, folder):
     """Clean text of the book files."""
-    return markup.markup_clean(table(spark, folder, "book_interior"))
+    return markup.markup_clean(spread(table(spark, folder, "book_interior")))
 
 
 def p3_found(spark, folder):
     """Copies of aligned pairs that differ only in formatting or in which column holds which text."""
-    return formatting.formatting_copies(table(spark, folder, "aligned_book"))
+    return formatting.formatting_copies(spread(table(spark, folder, "aligned_book")))
 
 
 def p3_records(spark, folder):
     """One row for each record of aligned_book, with its number of copies."""
-    return formatting.collapse_formatting(table(spark, folder, "aligned_book"))
+    return formatting.collapse_formatting(spread(table(spark, folder, "aligned_book")))
 
 
 def p5_found(spark, folder):
     """Pairs of segments that look the same but are stored differently."""
-    return lookalike.lookalike_pairs(table(spark, folder, "segments"))
+    return lookalike.lookalike_pairs(spread(table(spark, folder, "segments")))
 
 
 def p5_unified(spark, folder):
     """Every segment's text in one consistent form."""
-    return lookalike.unify_lookalikes(table(spark, folder, "segments"))
+    return lookalike.unify_lookalikes(spread(table(spark, folder, "segments")))
 
 
 def p6_ids(spark, folder):
     """Token ids of every document by byte_bpe_50k."""
-    return encoding.encode_ids(table(spark, folder, "documents"))
+    return encoding.encode_ids(spread(table(spark, folder, "documents")))
 
 
 def p6_round_trip(spark, folder):
@@ -81,17 +81,17 @@ def p6_round_trip(spark, folder):
 
 def p7_mix(spark, folder):
     """Documents of each mix, with the number of copies."""
-    return mixing.mix_sources(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+    return mixing.mix_sources(spread(table(spark, folder, "documents")), table(spark, folder, "mix_targets"))[0]
 
 
 def p7_report(spark, folder):
     """Target and actual share of each source of each mix."""
-    return mixing.mix_sources(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+    return mixing.mix_sources(spread(table(spark, folder, "documents")), table(spark, folder, "mix_targets"))[1]
 
 
 def p8_pieces(spark, folder):
     """Pieces of the documents above each limit."""
-    return splitting.split_texts(table(spark, folder, "documents"), table(spark, folder, "split_limits"))
+    return splitting.split_texts(spread(table(spark, folder, "documents")), table(spark, folder, "split_limits"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_aligned, p2_found, p2_pairs, p2_lexicon, p3_found, p3_records, p4_found, p4_clean, p5_found, p5_unified, p6_ids, p6_round_trip, p7_mix, p7_report, p8_pieces)}
