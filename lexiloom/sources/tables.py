@@ -3,9 +3,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexiloom.plans.shipping import ship
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table `name` of the folder; columns and filters are pushed into the scan by Catalyst."""
+    ship(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
