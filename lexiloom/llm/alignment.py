@@ -68,8 +68,16 @@ def _plain(text: str) -> str:
     return _thousands.sub("", "".join(c for c in text if not unicodedata.combining(c) and unicodedata.category(c) != "Cf").lower())
 
 
+#: Number words of both languages, read as digits so that `twelve`, `douze` and `12` are one term.
+NUMBERS = {
+    "2": "two deux", "3": "three trois", "4": "four quatre", "5": "five cinq", "6": "six", "7": "seven sept", "8": "eight huit", "9": "nine neuf", "10": "ten dix", "11": "eleven onze", "12": "twelve douze",
+    "13": "thirteen treize", "14": "fourteen quatorze", "15": "fifteen quinze", "16": "sixteen seize", "20": "twenty vingt", "30": "thirty trente", "40": "forty quarante", "50": "fifty cinquante", "60": "sixty soixante", "100": "hundred cent", "1000": "thousand mille",
+}
+_digits = {word: digits for digits, both in NUMBERS.items() for word in both.split()}
+
+
 def terms(text: str | None) -> list[str]:
-    return _letters.findall(_plain(text)) if text else []
+    return [_digits.get(w, w) for w in _letters.findall(_plain(text))] if text else []
 
 
 @dataclass
