@@ -125,7 +125,7 @@ def test_single_word_scores(spark):
 
 
 def test_word_position_tiers(spark):
-    cases = [("lost", "He lost it", 1), ("finding", "He found finder", -1), ("preached", "preaches preacher", 0), ("eglise", "dans l'église", 1), ("zz", "a b", -1)]
+    cases = [("lost", "He lost it", 1), ("finding", "He found finder", 1), ("preached", "preaches preacher", 0), ("eglise", "dans l'église", 1), ("zz", "a b", -1)]
     for q, text, place in cases:
         lang = "fr" if q == "eglise" else "en"
         row = spark.createDataFrame([(q, text, "x", lang)], "q string, text string, alignment_text string, lang string")
