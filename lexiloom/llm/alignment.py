@@ -28,7 +28,7 @@ from lexiloom.plans.skew import join_unique
 from lexiloom.plans.staging import cut
 
 #: Terms of each language in the decomposition, by document frequency; the driver holds this number squared of counts.
-VOCABULARY = 4096
+VOCABULARY = 3000
 #: A term must be in this part of the paired documents, and in at least three of them.
 LEAST_SHARE = 1 / 2000
 #: Dimensions of the decomposition, and of the vectors of terms outside the vocabulary.
@@ -177,11 +177,12 @@ def learn(pairs: DataFrame, left_col: str, right_col: str, vocabulary: int = VOC
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(counts.ravel()[at].astype(np.int64))], names=["at", "n"])
 
-    joint = np.zeros((len(n[0]), width))
+    corr = np.zeros((len(n[0]), width), np.float32)
     met = docs.mapInArrow(meet, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    joint.ravel()[met["at"].to_numpy()] = met["n"].to_numpy()
+    corr.ravel()[met["at"].to_numpy()] = met["n"].to_numpy()
     spread = [np.sqrt(np.maximum(x * (1 - x / max(total, 1)), 1e-9)) for x in n]
-    corr = (joint - np.outer(*n) / max(total, 1)) / np.outer(*spread)
+    for i in range(len(corr)):  # in place, row by row: the matrix is the largest thing that the driver holds
+        corr[i] = (corr[i] - n[0][i] * n[1] / max(total, 1)) / (spread[0][i] * spread[1])
     u, s, vt = _decompose(corr, rank)
     unit = lambda m: (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)).astype(np.float32)
     return Space(index, (unit(u * np.sqrt(s)), unit(vt.T * np.sqrt(s))), weights, rare)
@@ -192,7 +193,7 @@ def _decompose(m: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray, np.nda
     if min(m.shape) <= 1500:
         u, s, vt = np.linalg.svd(m, full_matrices=False)
         return u[:, :rank], s[:rank], vt[:rank]
-    q = np.linalg.qr(m @ np.random.default_rng(1).standard_normal((m.shape[1], min(rank + 64, min(m.shape)))))[0]
+    q = np.linalg.qr(m @ np.random.default_rng(1).standard_normal((m.shape[1], min(rank + 64, min(m.shape)))).astype(m.dtype))[0]
     for _ in range(4):
         q = np.linalg.qr(m @ np.linalg.qr(m.T @ q)[0])[0]
     u, s, vt = np.linalg.svd(q.T @ m, full_matrices=False)
