@@ -137,7 +137,7 @@ def length_ratio(a: Column, b: Column) -> Column:
 
 
 def rounded(c: Column, places: int) -> Column:
-    """Decimal rounding of the exact binary value, as Python's round and printf do; round() itself differs on ties."""
+    """Decimal rounding as Python's round and printf do it, for values from 0.1 on, where it was compared; round() itself differs on ties."""
     return F.call_function("format_number", c, F.lit("0." + "0" * places)).cast("double")
 
 

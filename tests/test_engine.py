@@ -97,39 +97,39 @@ def test_marks(spark, docs):
     assert found.first().text_highlighted == "<mark>Light</mark> of the world, <mark>light</mark>!"
 
 
-def lit_up(spark, q, text, other, lang, hints=None):
-    row = spark.createDataFrame([(q, text, other, lang, hints)], "q string, text string, alignment_text string, lang string, hints array<string>")
-    return highlight.highlights(row).first().alignment_highlights
+def lit_up(spark, cases):
+    """Highlights of cases (q, text, other, lang, hints), in order, in one plan."""
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, q string, text string, alignment_text string, lang string, hints array<string>")
+    return [r.alignment_highlights for r in highlight.highlights(df).orderBy("i").collect()]
 
 
 def test_highlights(spark):
     en, fr = "We must win the lost for Christ.", "Nous devons gagner les perdus pour Christ."
-    assert lit_up(spark, "lost", en, fr, "en", ["perdus"]) == ["perdus"]
-    assert lit_up(spark, "lost", en, fr, "en", ["les", "xyz", "Perdus"]) == ["perdus"]
-    assert lit_up(spark, "Christ", en, fr, "en") == ["Christ"]
-    assert lit_up(spark, "soul", "a soul won", "âme gagnée", "en", ["gagnee"]) == ["gagnée"]
-    assert lit_up(spark, "perdus", fr, "soul-winning lost", "fr", ["soul"]) == ["soul-winning"]
-    assert lit_up(spark, "xyz", en, fr, "en") == []
-    assert lit_up(spark, "gospel", "The gospel.", "", "en") == []
-    assert lit_up(spark, "gospel", "The gospel.", None, "en") == [] and lit_up(spark, None, en, fr, "en") == []
-    many = lit_up(spark, "win the lost", en, fr, "en", ["perdus"])
+    cases = [
+        (("lost", en, fr, "en", ["perdus"]), ["perdus"]),
+        (("lost", en, fr, "en", ["les", "xyz", "Perdus"]), ["perdus"]),
+        (("Christ", en, fr, "en", None), ["Christ"]),
+        (("soul", "a soul won", "âme gagnée", "en", ["gagnee"]), ["gagnée"]),
+        (("perdus", fr, "soul-winning lost", "fr", ["soul"]), ["soul-winning"]),
+        (("xyz", en, fr, "en", None), []),
+        (("gospel", "The gospel.", "", "en", None), []),
+        (("gospel", "The gospel.", None, "en", None), []),
+        ((None, en, fr, "en", None), []),
+        (("win Mars", en, fr, "en", None), []),
+        # no cognate: by place .70 and length .15 the first word leads with .745; the adjective's relaxed pass needs .745 * .9
+        # and gives the second .4 * .75 + .45
+        (("cat", "cat dog", "aaaaaaaaaa xyz w1 w2", "en", None), ["aaaaaaaaaa"]),
+        (("big", "big dog", "aaaaaaaaaa xyz w1 w2", "en", None), ["xyz"]),
+    ]
+    assert lit_up(spark, [c for c, _ in cases]) == [want for _, want in cases]
+    many = lit_up(spark, [("win the lost", en, fr, "en", ["perdus"])])[0]
     assert 1 <= len(many) <= 8 and len(set(many)) == len(many)
-    assert lit_up(spark, "win Mars", en, fr, "en") == []
-
-
-def test_single_word_scores(spark):
-    # no cognate: by place .70 and length .15 the first word leads with .745; the adjective's relaxed pass needs .745 * .9
-    # and gives the second .4 * .75 + .45
-    assert lit_up(spark, "cat", "cat dog", "aaaaaaaaaa xyz w1 w2", "en") == ["aaaaaaaaaa"]
-    assert lit_up(spark, "big", "big dog", "aaaaaaaaaa xyz w1 w2", "en") == ["xyz"]
 
 
 def test_word_position_tiers(spark):
-    cases = [("lost", "He lost it", 1), ("finding", "He found finder", 1), ("preached", "preaches preacher", 0), ("eglise", "dans l'église", 1), ("zz", "a b", -1)]
-    for q, text, place in cases:
-        lang = "fr" if q == "eglise" else "en"
-        row = spark.createDataFrame([(q, text, "x", lang)], "q string, text string, alignment_text string, lang string")
-        assert highlight.with_positions(highlight.analysed(row)).first().first_pos == place, q
+    cases = [("lost", "He lost it", "en", 1), ("finding", "He found finder", "en", 1), ("preached", "preaches preacher", "en", 0), ("eglise", "dans l'église", "fr", 1), ("zz", "a b", "en", -1)]
+    df = spark.createDataFrame([(i, q, text, "x", lang) for i, (q, text, lang, _) in enumerate(cases)], "i int, q string, text string, alignment_text string, lang string")
+    assert [r.first_pos for r in highlight.with_positions(highlight.analysed(df)).orderBy("i").collect()] == [place for *_, place in cases]
 
 
 def test_search_and_responses(spark, docs):

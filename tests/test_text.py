@@ -13,22 +13,27 @@ def one(spark, expression, **columns):
     return row.select(expression.alias("x")).first().x
 
 
-@pytest.mark.parametrize(
-    "lang, word, stem",
-    [
-        *(("en", *x) for x in [("preaching", "preach"), ("running", "run"), ("gospels", "gospel"), ("salvation", "salv"), ("quickly", "quick"), ("lost", "lose"), ("found", "find"), ("won", "win"), ("seeing", "se"), ("calling", "cal"), ("need", "ne"), ("thing", "thing"), ("cities", "city"), ("glass", "glass"), ("a", "")]),
-        *(("fr", *x) for x in [("perdus", "perdu"), ("gagnant", "gagn"), ("raisons", "raison"), ("chanteuses", "chanteux"), ("église", "eglise"), ("années", "anne"), ("très", "tre"), ("des", "des")]),
-    ],
-)
-def test_stems(spark, lang, word, stem):
-    assert one(spark, T.stem(F.col("w"), lang), w=word) == stem
+STEMS = {
+    "en": "preaching preach running run gospels gospel salvation salv quickly quick lost lose found find won win seeing se calling cal need ne thing thing cities city glass glass",
+    "fr": "perdus perdu gagnant gagn raisons raison chanteuses chanteux église eglise années anne très tre des des",
+}
+
+
+@pytest.mark.parametrize("lang", STEMS)
+def test_stems(spark, lang):
+    words = STEMS[lang].split()
+    cases = dict(zip(words[::2], words[1::2])) | {"a": ""}
+    got = spark.createDataFrame([(w,) for w in cases], "w string").select("w", T.stem(F.col("w"), lang).alias("s")).collect()
+    assert {r.w: r.s for r in got} == cases
 
 
 def test_clean_display_words(spark):
-    assert [one(spark, T.clean(F.col("w")), w=x) for x in ("word,", "don't", "«évangile»", "l'Église", "soul-winning", "—")] == ["word", "dont", "évangile", "léglise", "soulwinning", ""]
-    assert one(spark, T.display(F.col("w")), w="«L'évangile»!") == "L'évangile"
-    assert one(spark, T.words(F.col("w")), w="  a\tb c\x1cd \n") == ["a", "b", "c", "d"]
-    assert one(spark, T.trim(F.col("w")), w="　\t x y \r\n") == "x y"
+    cases = {"word,": "word", "don't": "dont", "«évangile»": "évangile", "l'Église": "léglise", "soul-winning": "soulwinning", "—": ""}
+    got = spark.createDataFrame([(w,) for w in cases], "w string").select("w", T.clean(F.col("w")).alias("c"), T.display(F.col("w")).alias("d")).collect()
+    assert {r.w: r.c for r in got} == cases and {r.w: r.d for r in got}["«évangile»"] == "évangile"
+    both = F.struct(T.words(F.col("w")).alias("words"), T.trim(F.col("w")).alias("trimmed"))
+    x = one(spark, both, w=" \u3000 a\tb\u00a0c\x1cd \n")
+    assert x.words == ["a", "b", "c", "d"] and x.trimmed == "a\tb\u00a0c\x1cd"
     assert one(spark, T.words(F.col("w")), w="") == []
 
 
@@ -38,12 +43,14 @@ def test_prepared_keeps_places(spark):
 
 
 def test_stop_words_and_accents(spark):
-    assert [one(spark, T.is_stop(F.col("w"), lang), w=w) for w, lang in (("the", "en"), ("gospel", "en"), ("les", "fr"), ("évangile", "fr"), ("été", "fr"), ("à", "fr"))] == [True, False, True, False, False, True]
-    assert [one(spark, T.strip_accents(F.col("w")), w=w) for w in ("évangile", "cœur", "é", "łø")] == ["evangile", "cœur", "e", "łø"]
+    words = ["the", "gospel", "les", "évangile", "été", "à", "cœur", "e\u0301", "łø"]
+    got = {r.w: (r.en, r.fr, r.bare) for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", T.is_stop(F.col("w"), "en").alias("en"), T.is_stop(F.col("w"), "fr").alias("fr"), T.strip_accents(F.col("w")).alias("bare")).collect()}
+    assert got["the"][0] and not got["gospel"][0] and got["les"][1] and got["à"][1] and not got["évangile"][1] and not got["été"][1]
+    assert [got[w][2] for w in words[3:]] == ["evangile", "ete", "a", "cœur", "e", "łø"]
 
 
-@settings(max_examples=10, deadline=None)
-@given(st.lists(st.text(st.characters(min_codepoint=1, max_codepoint=0x24F, exclude_categories=("Cs",)), max_size=12), min_size=1, max_size=30))
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.text(st.characters(min_codepoint=1, max_codepoint=0x24F, exclude_categories=("Cs",)), max_size=12), min_size=20, max_size=60))
 def test_functions_agree_with_unicode(spark, texts):
     rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", T.words(F.col("t")).alias("w"), T.strip_accents(F.col("t")).alias("s"), T.trim(F.col("t")).alias("r")).collect()
     for r in rows:
@@ -59,9 +66,10 @@ def test_similarity(spark):
     assert one(spark, T.length_ratio(F.col("a"), F.col("b")), a="four", b="église") == pytest.approx(4 / 6)
 
 
-@pytest.mark.parametrize("value, text", [(0.11875, "0.1187"), (0.00005, "0.0001"), (2 / 3, "0.6667"), (0.03125, "0.0312")])
-def test_rounding_is_of_the_binary_value(spark, value, text):
-    assert spark.range(1).select(T.rounded(F.lit(value), 4).alias("x")).first().x == float(text) == round(value, 4)
+def test_rounding_is_of_the_binary_value(spark):
+    values = [0.11875, 2 / 3, 0.03125, 1.0, 0.5]
+    got = spark.createDataFrame([(x,) for x in values], "x double").select("x", T.rounded(F.col("x"), 4).alias("r")).collect()
+    assert {r.x: r.r for r in got} == {x: round(x, 4) for x in values}
 
 
 def test_analysis_for_retrieval(spark):
