@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.encoding import as_texts, slices
+from lexiloom.plans.skew import join_unique
 from lexiloom.plans.staging import cut
 
 #: Letters of other scripts that print as a Latin letter; each string of look-alikes against its letter.
@@ -217,8 +218,8 @@ def lookalike_pairs(df: DataFrame, id_col: str = "id", text_col: str = "text") -
     exactly the result."""
     seen = unify_lookalikes(df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()), id_col, text_col)
     rows = cut(seen.select(F.col(id_col).alias("id"), F.unhex(F.sha2("unified", 256)).alias("key"), F.xxhash64("text").alias("form")).distinct())
-    twins = rows.groupBy("key").agg(F.min("form").alias("low"), F.max("form").alias("high")).where("low <> high").select("key")
-    held = cut(rows.join(twins, "key", "left_semi"))
+    twins = rows.groupBy("key").agg(F.min("form").alias("low"), F.max("form").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("key", "n")
+    held = cut(join_unique(rows, twins, ["key"], "n", rows.count()).drop("n"))
     forms = held.select("key", "form").distinct()
     pairs = forms.alias("x").join(forms.alias("y"), "key").where("x.form < y.form").select("key", F.col("x.form").alias("form_a"), F.col("y.form").alias("form_b"))
     side = lambda x: held.select("key", F.col("form").alias(f"form_{x}"), F.col("id").alias(f"id_{x}"))
