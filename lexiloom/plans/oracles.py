@@ -143,3 +143,38 @@ ORACLES["highlight_hint"] = (
   found as (select t.query_id, t.rank, arg_min(t.shown, struct_pack(w := u.word_idx, r := u.hint_rank, s := u.surface, j := t.j)) as hint from targets t join usable u on u.query_id = t.query_id and ({S.strip_accents('lower(t.shown)')} = u.bare or contains(t.shown, '-') and starts_with({S.strip_accents('lower(t.shown)')}, u.bare || '-')) group by all)
   select h.query_id, h.rank::int as rank, f.hint from hits h left join found f using (query_id, rank)"""
 )
+
+_highlight = (
+    _hits_sql.removesuffix(" select * from hits")
+    + f""", {_HIT_WORDS},
+  hit_target as materialized (select query_id, rank, lang, j, {S.clean('word')} as clean, {S.strip_accents(S.clean('word'))} as bare, {S.display('word')} as shown, n_target from (select query_id, rank, lang, unnest({S.words('alignment_text')}) as word, unnest(range(len({S.words('alignment_text')}))) as j, len({S.words('alignment_text')}) as n_target from hits)),
+  placed as materialized (select h.query_id, h.rank, h.lang, a.asked, len(a.asked) as n_asked, len(s.source) as n_source, {_position('s.source', 'a.asked[1].bare', 'a.asked[1].stem')} as first_pos, {_position('s.source', 'a.asked[len(a.asked)].bare', 'a.asked[len(a.asked)].stem')} as last_pos from hits h join hit_source s using (query_id, rank) join hit_asked a using (query_id, rank))"""
+)
+ORACLES["highlight_single"] = (
+    _highlight
+    + f""", one as materialized (select p.query_id, p.rank, p.lang, t.j, t.shown, p.asked[1].clean as q, {S.bigram_similarity('p.asked[1].bare', 't.bare')} as likeness,
+    1.0::double - abs(p.first_pos::double / p.n_source - t.j::double / t.n_target) as place, least(length(p.asked[1].clean), length(t.clean))::double / greatest(length(p.asked[1].clean), length(t.clean)) as size
+    from placed p join hit_target t using (query_id, rank) where p.n_asked = 1 and p.first_pos >= 0 and length(t.clean) >= 2 and t.shown <> ''),
+  weighed as (select *, case when most < 0.3::double then 0.15::double * likeness + 0.7::double * place + 0.15::double * size else 0.5::double * likeness + 0.45::double * place + 0.05::double * size end as score,
+    0.15::double * likeness + 0.4::double * place + 0.45::double * size as relaxed from (select *, max(likeness) over (partition by query_id, rank) as most from one)),
+  sure as (select query_id, rank, any_value(most) as most, any_value(case when lang = 'en' then {S.is_adjective('q', 'en')} else {S.is_adjective('q', 'fr')} end) as adjective,
+    arg_max(struct_pack(score := score, shown := shown, place := place), struct_pack(s := score, j := -j)) as best, list(struct_pack(best := 0::double, shown := shown, r := relaxed) order by j) as steps from weighed group by query_id, rank),
+  folded as (select query_id, rank, best, (adjective or (best.score < 0.65::double and best.place < 0.75::double)) and most < 0.3::double as unsure,
+    list_reduce(list_prepend(struct_pack(best := best.score, shown := best.shown, r := 0::double), steps), lambda a, x: case when x.r > a.best * (case when adjective then 0.9::double else 0.95::double end) then struct_pack(best := x.r, shown := x.shown, r := x.r) else a end) as relaxed from sure)
+  select p.query_id, p.rank::int as rank, case when f.unsure then f.relaxed.shown else f.best.shown end as word from placed p left join folded f using (query_id, rank) where p.n_asked = 1"""
+)
+ORACLES["highlight_phrase"] = (
+    _highlight
+    + f""", spans as (select *, greatest(0, floor(least(first_pos, last_pos)::double / n_source * n_target)::int - 2) as low, least(n_target, floor((greatest(first_pos, last_pos) + 1)::double / n_source * n_target)::int + 2) as high
+    from (select distinct p.*, t.n_target from placed p join hit_target t using (query_id, rank) where p.n_asked > 1 and p.first_pos >= 0 and p.last_pos >= 0)),
+  wide as (select *, case when high - low < 4 then greatest(0, low - (4 - (high - low)) // 2) else low end as a, case when high - low < 4 then least(n_target, high + (4 - (high - low)) // 2) else high end as b from spans),
+  cand as (select w.query_id, w.rank, t.j, t.shown, t.clean, w.a, w.b, w.n_asked, max({S.bigram_similarity('q.bare', 't.bare')}) as likeness
+    from wide w join hit_target t using (query_id, rank) join (select query_id, rank, unnest(asked).bare as bare from placed) q using (query_id, rank) where t.j >= w.a and t.j < w.b and length(t.clean) >= 2 and t.shown <> '' group by all),
+  rated as (select *, greatest(0, likeness) * (1.0::double - abs(j - (a + b)::double / 2) / greatest(1.0::double, (b - a)::double / 2) * 0.3::double) + least(1.0::double, length(clean) / 8.0::double) * 0.2::double as score from cand),
+  firsts as (select query_id, rank, shown, n_asked, score, j from (select *, row_number() over (partition by query_id, rank, shown order by score desc, j) as k from rated where score >= 0.15::double) where k = 1),
+  listed as (select query_id, rank, list_slice(list(shown order by score desc, j), 1, least(2 * any_value(n_asked) + 2, 8)) as words from firsts group by query_id, rank)
+  select p.query_id, p.rank::int as rank, coalesce(array_to_string(l.words, '|'), '') as words from placed p left join listed l using (query_id, rank) where p.n_asked > 1"""
+)
+
+_stored = ORACLES["alignment_pairs"]
+ORACLES["store_lexicon"] = ORACLES["dice_lexicon"].replace(CTE["kept"], f"select row_number() over () as row_id, text_en, text_fr from (select distinct pair_id, text_en, text_fr from ({_stored}))")
