@@ -129,6 +129,26 @@ def test_counts_and_lift(spark):
     assert cooccurrence.translations(df).count() == 6
 
 
+def test_found_by_count_and_lift_alone(spark, tmp_path):
+    """Few large among many small records, or many empty ones: the fitted null expects joint counts far above n_a * n_b / N."""
+    from lexiloom.llm import catalog
+
+    rng = random.Random(4)
+    stems = lambda lang, n: [f"{lang}{min(int(rng.expovariate(0.02)), 299)}" for _ in range(n)]
+    for name, sizes in {"heavy": [2] * 900 + [50] * 100, "empty": [0] * 700 + [6] * 300}.items():
+        records = [(i, stems("e", n), stems("f", n)) for i, n in enumerate(sizes)]
+        spark.createDataFrame(records, "pair_id bigint, stems_en array<string>, stems_fr array<string>").write.parquet(str(tmp_path / name / "pair_stems.parquet"))
+        sides = [[set(r[k]) for r in records] for k in (1, 2)]
+        alone = [{s: sum(s in x for x in side) for s in set().union(*side)} for side in sides]
+        joint = {}
+        for a, b in zip(*sides):
+            for p in itertools.product(a, b):
+                joint[p] = joint.get(p, 0) + 1
+        want = {(f"en:{a}", f"fr:{b}") for (a, b), n in joint.items() if n >= 5 and n * len(records) >= 6 * alone[0][a] * alone[1][b]}
+        got = [tuple(r) for r in catalog.p2_found(spark, str(tmp_path / name)).collect()]
+        assert want and len(got) == len(set(got)) and set(got) == want, name
+
+
 def test_tail_against_convolution():
     rng = np.random.default_rng(5)
     chance, number = rng.uniform(0, 0.3, (4, 6)), rng.integers(1, 8, 6).astype(float)
