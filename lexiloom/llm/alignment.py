@@ -9,7 +9,8 @@
    anchors elsewhere (moved chapters) are compared too. Work grows with the number of segments, not with its square, and a cell is
    a small group whatever share of all rows one work holds.
 3. Matching. Segments are cut into clauses; windows of up to three clauses are compared by cosine, scored by margin over their
-   neighbours, and taken where each is the other's best; order within the stretch is free, distance from the local trend costs a little.
+   neighbours, and taken where each is the other's best; distance from the local trend costs a little. Clauses left over
+   are compared again whatever their distance.
 """
 from __future__ import annotations
 
@@ -37,8 +38,12 @@ RANK, OUTSIDE = 256, 64
 CELL, HALO, REACH = 256, 12, 96
 #: Signatures of a segment, and their bits.
 TABLES, BITS = 8, 24
-#: Acceptance: cosine less what distance costs, coverage of both windows' terms, distance from the local trend in segments.
+#: Acceptance: cosine less what distance costs, coverage of both windows' terms, distance from the local trend in segments
+#: up to which each step costs the same.
 LEAST_SCORE, LEAST_COVERAGE, FARTHEST = 0.42, 0.62, 20
+#: Clauses that this leaves over are compared once more, wherever they stand: any distance together costs FAR_COST, so that of two
+#: equal sentences the nearer one wins; the cosine must be FAR_COSINE, and the margin FAR_MARGIN unless the cosine is FAR_SURE.
+FAR_COST, FAR_COSINE, FAR_MARGIN, FAR_SURE = 0.03, 0.75, 1.06, 0.93
 #: Where one side says more than the other (a phrase left out), this much of the longer and of the shorter must be covered.
 PART_COVERAGE, FULL_COVERAGE = 0.35, 0.88
 STEP_COST = 0.012
@@ -248,10 +253,10 @@ def _coverage(space: Space, a: list[str], b: list[str]) -> tuple[float, float]:
     return min(parts), max(parts)
 
 
-def match(space: Space, left: list[str | None], right: list[str | None], left_at: np.ndarray, right_at: np.ndarray) -> tuple[list[tuple[int, int, float]], list[tuple[int, int, str, str]]]:
+def match(space: Space, left: list[str | None], right: list[str | None], left_at: np.ndarray, right_at: np.ndarray, whole: bool = True) -> tuple[list[tuple[int, int, float]], list[tuple[int, int, str, str]]]:
     """Pairs (row of left, row of right, score) of segments that render one another, and pairs left over alone between
     matched neighbours (row of left, row of right, and the two clauses' words); *_at are positions, the right ones already moved by the
-    expected offset."""
+    expected offset. whole: both versions are given whole, so what is left over may be looked up at any distance."""
     a, b = Side.of(space, left, 0), Side.of(space, right, 1)
     if not len(a.words) or not len(b.words):
         return [], []
@@ -269,7 +274,7 @@ def match(space: Space, left: list[str | None], right: list[str | None], left_at
         smooth = np.array([np.median(gap[max(0, k - 6) : k + 7]) for k in range(len(gap))])
         shift = np.interp(pa_, at, smooth)
     away = np.abs((pa_ + shift)[:, None] - pb[None, :])
-    found = []
+    found, shapes = [], []
     for i_size, j_size in _SHAPES:
         wa, wb = _windows(a.vectors, i_size), _windows(b.vectors, j_size)
         if not len(wa) or not len(wb):
@@ -278,33 +283,47 @@ def match(space: Space, left: list[str | None], right: list[str | None], left_at
         k = min(NEIGHBOURS, sim.shape[0], sim.shape[1])
         near = (np.partition(sim, -k, axis=1)[:, -k:].mean(1)[:, None] + np.partition(sim, -k, axis=0)[-k:].mean(0)[None, :]) / 2
         dist = (away[: len(wa), : len(wb)] + away[i_size - 1 :, j_size - 1 :]) / 2
+        shapes.append((i_size, j_size, sim, near, dist))
         score = np.where(dist <= FARTHEST, sim - STEP_COST * dist, -1.0)
         mutual = (score >= score.max(1, keepdims=True) - 1e-6) & (score >= score.max(0, keepdims=True) - 1e-6) & (score > LEAST_SCORE)
         for i, j in zip(*np.nonzero(mutual)):
             if i_size + j_size > 2 or sim[i, j] / max(near[i, j], 1e-9) >= LEAST_MARGIN or sim[i, j] > 0.85:
                 # a larger window must earn what it adds
                 found.append((float(score[i, j]) - 0.02 * (i_size + j_size - 2), int(i), int(j), i_size, j_size))
-    found.sort(reverse=True)
     used_a, used_b, out = np.zeros(len(pa_), bool), np.zeros(len(pb), bool), {}
     partner = np.full(len(pa_), -1)
-    for score, i, j, i_size, j_size in found:
-        if used_a[i : i + i_size].any() or used_b[j : j + j_size].any():
-            continue
-        low, high = _coverage(space, sum(a.words[i : i + i_size], []), sum(b.words[j : j + j_size], []))
-        if low < LEAST_COVERAGE and not (low >= PART_COVERAGE and high >= FULL_COVERAGE):
-            continue
-        used_a[i : i + i_size] = True
-        used_b[j : j + j_size] = True
-        partner[i : i + i_size] = np.minimum(j + np.arange(i_size), j + j_size - 1)
-        if i_size * j_size > 1 and max(i_size, j_size) > 1:
-            parts = [(x, y) for x in range(i, i + i_size) for y in range(j, j + j_size)]
-            if i_size == j_size:  # both merged: pair only clauses that share something
-                parts = [(x, y) for x, y in parts if _coverage(space, a.words[x], b.words[y])[1] >= 0.5] or parts
-        else:
-            parts = [(i, j)]
-        for x, y in parts:
-            key = (int(a.row[x]), int(b.row[y]))
-            out[key] = max(out.get(key, 0.0), score)
+
+    def take(found: list) -> None:
+        """The best first, as far as their clauses are free."""
+        for score, i, j, i_size, j_size in sorted(found, reverse=True):
+            if used_a[i : i + i_size].any() or used_b[j : j + j_size].any():
+                continue
+            low, high = _coverage(space, sum(a.words[i : i + i_size], []), sum(b.words[j : j + j_size], []))
+            if low < LEAST_COVERAGE and not (low >= PART_COVERAGE and high >= FULL_COVERAGE):
+                continue
+            used_a[i : i + i_size] = True
+            used_b[j : j + j_size] = True
+            partner[i : i + i_size] = np.minimum(j + np.arange(i_size), j + j_size - 1)
+            if i_size * j_size > 1 and max(i_size, j_size) > 1:
+                parts = [(x, y) for x in range(i, i + i_size) for y in range(j, j + j_size)]
+                if i_size == j_size:  # both merged: pair only clauses that share something
+                    parts = [(x, y) for x, y in parts if _coverage(space, a.words[x], b.words[y])[1] >= 0.5] or parts
+            else:
+                parts = [(i, j)]
+            for x, y in parts:
+                key = (int(a.row[x]), int(b.row[y]))
+                out[key] = max(out.get(key, 0.0), score)
+
+    take(found)
+    found = []
+    for i_size, j_size, sim, near, dist in shapes if whole else ():
+        free_a = ~np.array([used_a[i : i + i_size].any() for i in range(len(sim))])
+        free_b = ~np.array([used_b[j : j + j_size].any() for j in range(sim.shape[1])])
+        good = free_a[:, None] & free_b[None, :] & (sim >= FAR_COSINE) & (dist > FARTHEST) & ((sim >= FAR_MARGIN * near) | (sim >= FAR_SURE))
+        score = np.where(good, sim - FAR_COST * dist / (dist + CELL), -1.0)
+        mutual = good & (score >= score.max(1, keepdims=True) - 1e-6) & (score >= score.max(0, keepdims=True) - 1e-6)
+        found += [(float(score[i, j]) - 0.02 * (i_size + j_size - 2), int(i), int(j), i_size, j_size) for i, j in zip(*np.nonzero(mutual))]
+    take(found)
     gaps = []
     for i in range(1, len(pa_) - 1):
         if not used_a[i] and used_a[i - 1] and used_a[i + 1]:
@@ -412,7 +431,7 @@ def align(books: DataFrame, segments: DataFrame, pairs: DataFrame, left_col: str
         b = frame[frame["side"] == 1].sort_values(["position", "id"])
         small = frame["part"].iloc[0] == -1
         first = frame["cell"].iloc[0] * CELL
-        got, gaps = match(space.value, a["text"].tolist(), b["text"].tolist(), a["position"].to_numpy(float), (b["position"].to_numpy(float) - frame["shift"].iloc[0]) * frame["scale"].iloc[0])
+        got, gaps = match(space.value, a["text"].tolist(), b["text"].tolist(), a["position"].to_numpy(float), (b["position"].to_numpy(float) - frame["shift"].iloc[0]) * frame["scale"].iloc[0], whole=small)
         ids_a, ids_b, at = a["id"].to_numpy(), b["id"].to_numpy(), a["position"].to_numpy()
         core = lambda i: small or first <= at[i] < first + CELL
         out = [(ids_a[i], ids_b[j], s, "", "") for i, j, s in got if core(i)] + [(ids_a[i], ids_b[j], -1.0, x, y) for i, j, x, y in gaps if core(i)]

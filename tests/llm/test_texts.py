@@ -231,6 +231,24 @@ def test_large_works_are_compared_by_cells(spark):
     assert len(got & right) >= 0.97 * len(right) and len(got & right) >= 0.97 * len(got)
 
 
+@pytest.mark.parametrize("move", [50, 200])
+def test_single_sentences_moved_far(spark, move):
+    """In a work compared whole, a sentence and its rendering may stand any number of places apart."""
+    rng = random.Random(21)
+    training = spark.createDataFrame([sentence(rng) for _ in range(400)], "en string, fr string")
+    story = list(dict.fromkeys(sentence(rng) for _ in range(320)))
+    order = list(range(len(story)))
+    moved = [30, 60, 90]
+    for k in moved:
+        order.remove(k)
+        order.insert(k + move, k)
+    books = spark.createDataFrame([(1, "Tale (EN)"), (2, "Tale (FR)")], "id bigint, title string")
+    segments = spark.createDataFrame([(k, 1, k + 1, e) for k, (e, _) in enumerate(story)] + [(10_000 + k, 2, n + 1, story[k][1]) for n, k in enumerate(order)], "id bigint, book_id bigint, position int, text string")
+    got = {(r.segment_en, r.segment_fr - 10_000) for r in alignment.align(books, segments, training).collect()}
+    right = {(k, k) for k in order}
+    assert {(k, k) for k in moved} <= got and len(got & right) >= 0.97 * len(right) and len(got & right) >= 0.97 * len(got), (right - got, got - right)
+
+
 def test_clauses_and_terms():
     assert alignment.clauses('He came. "She left," he said; it rained.') == ["He came.", '"She left," he said', "it rained."]
     assert alignment.terms("Ｔhe Œuvre е́té 6 570, twelve") == ["the", "oeuvre", "ete", "6570", "12"]
