@@ -10,7 +10,7 @@
    a small group whatever share of all rows one work holds.
 3. Matching. Segments are cut into clauses; windows of up to three clauses are compared by cosine, scored by margin over their
    neighbours, and taken where each is the other's best; distance from the local trend costs a little. Clauses left over
-   are compared again whatever their distance.
+   are compared again whatever their distance, those of a large work with all that are left over in the whole other version.
 """
 from __future__ import annotations
 
@@ -44,6 +44,8 @@ LEAST_SCORE, LEAST_COVERAGE, FARTHEST = 0.42, 0.62, 20
 #: Clauses that this leaves over are compared once more, wherever they stand: any distance together costs FAR_COST, so that of two
 #: equal sentences the nearer one wins; the cosine must be FAR_COSINE, and the margin FAR_MARGIN unless the cosine is FAR_SURE.
 FAR_COST, FAR_COSINE, FAR_MARGIN, FAR_SURE = 0.03, 0.75, 1.06, 0.93
+#: Clauses that the cells of a large work leave over, in a block compared with each such block of the other version.
+LEFT_OVER = 1024
 #: Where one side says more than the other (a phrase left out), this much of the longer and of the shorter must be covered.
 PART_COVERAGE, FULL_COVERAGE = 0.35, 0.88
 STEP_COST = 0.012
@@ -212,23 +214,25 @@ def clauses(text: str | None) -> list[str]:
 
 @dataclass
 class Side:
-    """Clauses of one version's segments in order: number of the segment's place in the rows given, words, vectors."""
+    """Clauses of one version's segments in order: number of the segment's place in the rows given, number in the segment, words, vectors."""
 
     row: np.ndarray
+    part: np.ndarray
     words: list[list[str]]
     vectors: np.ndarray
 
     @classmethod
     def of(cls, space: Space, texts: list[str | None], side: int) -> "Side":
-        rows, words = [], []
+        rows, parts, words = [], [], []
         for i, text in enumerate(texts):
-            for clause in clauses(text):
+            for k, clause in enumerate(clauses(text)):
                 w = terms(clause)
                 if w:
                     rows.append(i)
+                    parts.append(k)
                     words.append(w)
         vectors = np.array([space.text(w, side) for w in words], np.float32).reshape(len(words), RANK + OUTSIDE)
-        return cls(np.array(rows, int), words, vectors)
+        return cls(np.array(rows, int), np.array(parts, int), words, vectors)
 
 
 _SHAPES = ((1, 1), (1, 2), (2, 1), (2, 2), (1, 3), (3, 1))
@@ -253,10 +257,11 @@ def _coverage(space: Space, a: list[str], b: list[str]) -> tuple[float, float]:
     return min(parts), max(parts)
 
 
-def match(space: Space, left: list[str | None], right: list[str | None], left_at: np.ndarray, right_at: np.ndarray, whole: bool = True) -> tuple[list[tuple[int, int, float]], list[tuple[int, int, str, str]]]:
+def match(space: Space, left: list[str | None], right: list[str | None], left_at: np.ndarray, right_at: np.ndarray, whole: bool = True, anywhere: bool = False, used: list | None = None) -> tuple[list[tuple[int, int, float]], list[tuple[int, int, str, str]]]:
     """Pairs (row of left, row of right, score) of segments that render one another, and pairs left over alone between
     matched neighbours (row of left, row of right, and the two clauses' words); *_at are positions, the right ones already moved by the
-    expected offset. whole: both versions are given whole, so what is left over may be looked up at any distance."""
+    expected offset. whole: nothing is missing in which what is left over could find its like, so it is looked up at any distance;
+    anywhere: distance tells nothing from the start; used takes (side, row, clause) of what is in a pair."""
     a, b = Side.of(space, left, 0), Side.of(space, right, 1)
     if not len(a.words) or not len(b.words):
         return [], []
@@ -284,6 +289,8 @@ def match(space: Space, left: list[str | None], right: list[str | None], left_at
         near = (np.partition(sim, -k, axis=1)[:, -k:].mean(1)[:, None] + np.partition(sim, -k, axis=0)[-k:].mean(0)[None, :]) / 2
         dist = (away[: len(wa), : len(wb)] + away[i_size - 1 :, j_size - 1 :]) / 2
         shapes.append((i_size, j_size, sim, near, dist))
+        if anywhere:
+            continue
         score = np.where(dist <= FARTHEST, sim - STEP_COST * dist, -1.0)
         mutual = (score >= score.max(1, keepdims=True) - 1e-6) & (score >= score.max(0, keepdims=True) - 1e-6) & (score > LEAST_SCORE)
         for i, j in zip(*np.nonzero(mutual)):
@@ -319,11 +326,15 @@ def match(space: Space, left: list[str | None], right: list[str | None], left_at
     for i_size, j_size, sim, near, dist in shapes if whole else ():
         free_a = ~np.array([used_a[i : i + i_size].any() for i in range(len(sim))])
         free_b = ~np.array([used_b[j : j + j_size].any() for j in range(sim.shape[1])])
-        good = free_a[:, None] & free_b[None, :] & (sim >= FAR_COSINE) & (dist > FARTHEST) & ((sim >= FAR_MARGIN * near) | (sim >= FAR_SURE))
+        good = free_a[:, None] & free_b[None, :] & (sim >= FAR_COSINE) & ((sim >= FAR_MARGIN * near) | (sim >= FAR_SURE))
+        if not anywhere:
+            good &= dist > FARTHEST
         score = np.where(good, sim - FAR_COST * dist / (dist + CELL), -1.0)
         mutual = good & (score >= score.max(1, keepdims=True) - 1e-6) & (score >= score.max(0, keepdims=True) - 1e-6)
         found += [(float(score[i, j]) - 0.02 * (i_size + j_size - 2), int(i), int(j), i_size, j_size) for i, j in zip(*np.nonzero(mutual))]
     take(found)
+    if used is not None:
+        used += [(side, int(x.row[i]), int(x.part[i])) for side, x, u in ((0, a, used_a), (1, b, used_b)) for i in np.flatnonzero(u)]
     gaps = []
     for i in range(1, len(pa_) - 1):
         if not used_a[i] and used_a[i - 1] and used_a[i + 1]:
@@ -401,6 +412,37 @@ def _cells(rows: DataFrame, shipped) -> DataFrame:
     return small.unionByName(along).unionByName(moved)
 
 
+def _left_over(rows: DataFrame, found: DataFrame, shipped) -> DataFrame:
+    """(segment_en, segment_fr, score) of clauses of large works that no cell has paired, each compared with all such clauses of
+    the other version, in blocks of about LEFT_OVER; a pair stands if no other block has a better one for either clause."""
+
+    def split(batches):
+        for batch in batches:
+            parts = [clauses(x) for x in batch.column(4).to_pylist()]
+            rep = pa.array(np.repeat(np.arange(len(parts)), [len(x) for x in parts]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(rep) for k in range(4)), pa.array([k for x in parts for k in range(len(x))], pa.int32()), pa.array([c for x in parts for c in x], pa.string())], names=["work", "side", "id", "position", "clause", "text"])
+
+    columns = "work bigint, side int, id bigint, position bigint, clause int, text string"
+    every = rows.select("work", "side", "id", "position", "text").mapInArrow(split, columns)
+    held = found.where("score = -2").select("side", F.col("segment_en").alias("id"), "clause").distinct()
+    free = cut(every.join(held, ["side", "id", "clause"], "left_anti").withColumn("cell", F.floor(F.col("position") / CELL)))
+    upto = Window.partitionBy("work", "side").orderBy("cell")
+    blocks = cut(free.groupBy("work", "side", "cell").agg(F.count(F.lit(1)).alias("n")).withColumn("block", F.floor((F.sum("n").over(upto) - F.col("n")) / LEFT_OVER)).drop("n"))
+    number = blocks.groupBy("work").agg(F.max(F.expr("if(side = 0, block, null)")).alias("last_en"), F.max(F.expr("if(side = 1, block, null)")).alias("last_fr")).where("last_en is not null and last_fr is not null")
+    placed = free.join(blocks, ["work", "side", "cell"]).join(number, "work")
+    met = placed.withColumn("other", F.explode(F.expr("sequence(0L, if(side = 0, last_fr, last_en))"))).select("work", F.expr("if(side = 0, block, other)").alias("block_en"), F.expr("if(side = 0, other, block)").alias("block_fr"), "side", "id", "position", "clause", "text")
+
+    def work_out(frame: pd.DataFrame) -> pd.DataFrame:
+        a, b = (frame[frame["side"] == k].sort_values(["position", "id", "clause"]) for k in (0, 1))
+        got, _ = match(shipped.value, a["text"].tolist(), b["text"].tolist(), a["position"].to_numpy(float), b["position"].to_numpy(float), anywhere=True)
+        at = lambda x, k, c: x[c].to_numpy()[[g[k] for g in got]]
+        return pd.DataFrame({"segment_en": at(a, 0, "id"), "clause_en": at(a, 0, "clause"), "segment_fr": at(b, 1, "id"), "clause_fr": at(b, 1, "clause"), "score": [float(g[2]) for g in got]} if got else {c: [] for c in ("segment_en", "clause_en", "segment_fr", "clause_fr", "score")})
+
+    far = cut(met.groupBy("work", "block_en", "block_fr").applyInPandas(work_out, "segment_en bigint, clause_en int, segment_fr bigint, clause_fr int, score double"))
+    best = lambda side: F.max("score").over(Window.partitionBy(f"segment_{side}", f"clause_{side}"))
+    return far.withColumn("a", best("en")).withColumn("b", best("fr")).where("score >= a and score >= b").select("segment_en", "segment_fr", "score")
+
+
 def align(books: DataFrame, segments: DataFrame, pairs: DataFrame, left_col: str = "en", right_col: str = "fr") -> DataFrame:
     """(segment_en, segment_fr, score): pairs of segments of the same work of which one renders the other, wholly or in part.
 
@@ -431,15 +473,20 @@ def align(books: DataFrame, segments: DataFrame, pairs: DataFrame, left_col: str
         b = frame[frame["side"] == 1].sort_values(["position", "id"])
         small = frame["part"].iloc[0] == -1
         first = frame["cell"].iloc[0] * CELL
-        got, gaps = match(space.value, a["text"].tolist(), b["text"].tolist(), a["position"].to_numpy(float), (b["position"].to_numpy(float) - frame["shift"].iloc[0]) * frame["scale"].iloc[0], whole=small)
+        used: list = []
+        got, gaps = match(space.value, a["text"].tolist(), b["text"].tolist(), a["position"].to_numpy(float), (b["position"].to_numpy(float) - frame["shift"].iloc[0]) * frame["scale"].iloc[0], whole=small, used=used)
         ids_a, ids_b, at = a["id"].to_numpy(), b["id"].to_numpy(), a["position"].to_numpy()
         core = lambda i: small or first <= at[i] < first + CELL
-        out = [(ids_a[i], ids_b[j], s, "", "") for i, j, s in got if core(i)] + [(ids_a[i], ids_b[j], -1.0, x, y) for i, j, x, y in gaps if core(i)]
-        return pd.DataFrame(out, columns=["segment_en", "segment_fr", "score", "words_en", "words_fr"]).astype({"segment_en": "int64", "segment_fr": "int64", "score": "float64"})
+        out = [(ids_a[i], ids_b[j], s, "", "", -1, -1) for i, j, s in got if core(i)] + [(ids_a[i], ids_b[j], -1.0, x, y, -1, -1) for i, j, x, y in gaps if core(i)]
+        if not small:  # clauses that pairs of the core hold
+            held = {ids_b[j] for i, j, _ in got if core(i)}
+            out += [(i, i, -2.0, "", "", side, k) for side, i, k in ((side, (ids_b if side else ids_a)[r], k) for side, r, k in used if side or core(r)) if not side or i in held]
+        return pd.DataFrame(out, columns=["segment_en", "segment_fr", "score", "words_en", "words_fr", "side", "clause"]).astype({"segment_en": "int64", "segment_fr": "int64", "score": "float64", "side": "int32", "clause": "int32"})
 
-    schema = "segment_en bigint, segment_fr bigint, score double, words_en string, words_fr string"
+    schema = "segment_en bigint, segment_fr bigint, score double, words_en string, words_fr string, side int, clause int"
     found = cut(left.select(*columns).unionByName(right.select(*columns)).groupBy(*key).applyInPandas(work_out, schema))
-    alone = found.where("score < 0").distinct()
+    alone = found.where("score = -1").select("segment_en", "segment_fr", "words_en", "words_fr").distinct()
     support = alone.groupBy("words_en", "words_fr").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_SUPPORT)
     recurring = join_unique(alone, support, ["words_en", "words_fr"], "n", alone.count()).select("segment_en", "segment_fr", F.lit(LEAST_SCORE).alias("score"))
-    return found.where("score >= 0").select("segment_en", "segment_fr", "score").unionByName(recurring).groupBy("segment_en", "segment_fr").agg(F.max("score").alias("score"))
+    left_over = _left_over(rows.join(cells.where("part >= 0").select("work").distinct(), "work", "left_semi"), found, space)
+    return found.where("score >= 0").select("segment_en", "segment_fr", "score").unionByName(recurring).unionByName(left_over).groupBy("segment_en", "segment_fr").agg(F.max("score").alias("score"))

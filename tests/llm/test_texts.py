@@ -249,6 +249,22 @@ def test_single_sentences_moved_far(spark, move):
     assert {(k, k) for k in moved} <= got and len(got & right) >= 0.97 * len(right) and len(got & right) >= 0.97 * len(got), (right - got, got - right)
 
 
+def test_single_sentences_moved_out_of_reach_of_their_cell(spark):
+    """In a large work what the cells leave over is looked up in the whole other version."""
+    rng = random.Random(22)
+    training = spark.createDataFrame([sentence(rng) for _ in range(400)], "en string, fr string")
+    story = [(e.replace(".", f", {1000 + 7 * k}."), f.replace(".", f", {1000 + 7 * k}.")) for k, (e, f) in enumerate(sentence(rng) for _ in range(1400))]
+    order, moved = list(range(1400)), {100: 1200, 700: 60, 900: 500}
+    for k, to in moved.items():
+        order.remove(k)
+        order.insert(to, k)
+    books = spark.createDataFrame([(1, "Tale (EN)"), (2, "Tale (FR)")], "id bigint, title string")
+    segments = spark.createDataFrame([(k, 1, k + 1, e) for k, (e, _) in enumerate(story)] + [(10_000 + k, 2, n + 1, story[k][1]) for n, k in enumerate(order)], "id bigint, book_id bigint, position int, text string")
+    got = {(r.segment_en, r.segment_fr - 10_000) for r in alignment.align(books, segments, training).collect()}
+    right = {(k, k) for k in order}
+    assert {(k, k) for k in moved} <= got and len(got & right) >= 0.97 * len(right) and len(got & right) >= 0.97 * len(got), (right - got, got - right)
+
+
 def test_clauses_and_terms():
     assert alignment.clauses('He came. "She left," he said; it rained.') == ["He came.", '"She left," he said', "it rained."]
     assert alignment.terms("Ｔhe Œuvre е́té 6 570, twelve") == ["the", "oeuvre", "ete", "6570", "12"]
