@@ -1,16 +1,14 @@
 """The engine's queries by name, each over whole tables, with the same results as SQL where SQL can express them."""
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
 from lexiloom.functions.lexicons import LANGUAGES
 from lexiloom.operators import highlight, ingest, lexicon, retrieval, search
 from lexiloom.plans.oracles import ORACLES
-from lexiloom.plans.samples import sample_queries
+from lexiloom.plans.samples import row_queries, sample_queries
+from lexiloom.plans.staging import scratch
 from lexiloom.sources import files
 from lexiloom.sources.tables import spread, table
 
@@ -147,7 +145,7 @@ def hints_top5(spark, folder):
 
 def hints_surface_forms(spark, folder):
     """Surface forms of the best translations, in order."""
-    return lexicon.hints(sample_queries(spark), dice_lexicon(spark, folder), stem_forms(spark, folder))
+    return lexicon.corpus_hints(sample_queries(spark), _texts(spark, folder), "row_id")
 
 
 def stored_hints(spark, folder):
@@ -171,9 +169,11 @@ def length_ratio(spark, folder):
 
 
 def position_similarity(spark, folder):
-    """Likeness of place of the first and the last word of both texts of a pair."""
-    n_en, n_fr = F.size(T.words(F.col("text_en"))), F.size(T.words(F.col("text_fr")))
-    return _texts(spark, folder).select("row_id", (1.0 - F.abs((n_en - 1) / n_en - (n_fr - 1) / n_fr)).alias("last_similarity"), (1.0 - F.abs((n_en - 1) / n_en - F.lit(0.0))).alias("ends_similarity"))
+    """Likeness of place of every English word of a pair and the French word at the same part of its text."""
+    n = F.col("n_fr") / F.col("n_en")
+    sized = _texts(spark, folder).select("row_id", F.size(T.words(F.col("text_en"))).alias("n_en"), F.size(T.words(F.col("text_fr"))).alias("n_fr"))
+    placed = sized.select("row_id", "n_en", "n_fr", F.explode(F.sequence(F.lit(0), F.col("n_en") - 1)).alias("i")).withColumn("j", F.floor(F.col("i") * n).cast("int"))
+    return placed.select("row_id", "i", "j", T.position_similarity(F.col("i"), F.col("n_en"), F.col("j"), F.col("n_fr")).alias("similarity"))
 
 
 def adjective_flag(spark, folder):
@@ -187,14 +187,36 @@ def postings(spark, folder):
     return retrieval.postings(_rows(spark, folder))
 
 
+_indexes: dict[tuple, retrieval.Index] = {}
+
+
+def _changed(spark, folder) -> int:
+    """When the table of pairs was last written, by its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/aligned_book.parquet")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+
+
+def _index(spark, folder):
+    """The index of a folder's pairs: built once for each state of the table and reused by all queries until `release`."""
+    key = (spark.sparkContext.applicationId, folder, _changed(spark, folder))
+    if key not in _indexes:
+        _indexes[key] = retrieval.build(_rows(spark, folder))
+    return _indexes[key]
+
+
+def release() -> None:
+    """Let go of all indexes, and of their files where the session cleans checkpoints."""
+    _indexes.clear()
+
+
 def term_stats(spark, folder):
     """Document frequency of each term, with the collection's figures."""
-    index = retrieval.build(_rows(spark, folder))
+    index = _index(spark, folder)
     return index.stats.join(index.whole, "lang").select("lang", "term", "df", "n_docs", T.rounded(F.col("avg_dl"), 6).alias("avg_dl"))
 
 
 def _asked(spark, folder):
-    return retrieval.query_terms(sample_queries(spark)), retrieval.build(_rows(spark, folder))
+    return retrieval.query_terms(sample_queries(spark)), _index(spark, folder)
 
 
 def bm25_terms(spark, folder):
@@ -222,11 +244,16 @@ def fuzzy_terms(spark, folder):
 
 def hybrid_topk(spark, folder):
     """Each query's best pairs."""
-    return retrieval.ranked(sample_queries(spark), retrieval.build(_rows(spark, folder)))
+    return retrieval.ranked(sample_queries(spark), _index(spark, folder))
+
+
+def search_by_rows(spark, folder):
+    """Best pairs for every row whose id is divisible by 100, taken as a query against all rows."""
+    return retrieval.ranked(row_queries(_texts(spark, folder)), _index(spark, folder))
 
 
 def _hits(spark, folder):
-    return search.hits(search.checked(sample_queries(spark)), retrieval.build(_rows(spark, folder)))
+    return search.hits(search.checked(sample_queries(spark)), _index(spark, folder))
 
 
 def word_position(spark, folder):
@@ -235,9 +262,7 @@ def word_position(spark, folder):
 
 
 def _hinted(spark, folder):
-    texts = _texts(spark, folder)
-    hints = lexicon.hints(sample_queries(spark), lexicon.lexicon(texts, "row_id"), lexicon.stem_forms(texts, "row_id"))
-    return _hits(spark, folder).join(lexicon.hint_lists(hints), "query_id", "left")
+    return _hits(spark, folder).join(lexicon.hint_lists(hints_surface_forms(spark, folder)), "query_id", "left")
 
 
 def highlight_hint(spark, folder):
@@ -262,32 +287,58 @@ def source_mark(spark, folder):
     return _hits(spark, folder).select("query_id", "rank", "text", "text_highlighted")
 
 
+def _results(spark, folder):
+    return search.results(search.checked(sample_queries(spark)), _index(spark, folder), hints_surface_forms(spark, folder))
+
+
 def search_results(spark, folder):
-    """The whole search: hits with translations highlighted."""
-    texts = _texts(spark, folder)
-    return search.search(sample_queries(spark), _docs(spark, folder), lexicon.lexicon(texts, "row_id"), lexicon.stem_forms(texts, "row_id"))
+    """The whole search: hits with translations highlighted, these as one text."""
+    return _results(spark, folder).withColumn("alignment_highlights", F.array_join("alignment_highlights", "|"))
 
 
 def search_response(spark, folder):
     """The JSON response of each query."""
-    return search.responses(sample_queries(spark), search_results(spark, folder))
+    return search.responses(sample_queries(spark), _results(spark, folder))
 
 
 def csv_import(spark, folder):
-    """aligned_book written as CSV and imported again: kept rows, without order."""
-    where = tempfile.mkdtemp(prefix="csv-", dir=_shared(spark))
-    table(spark, folder, "aligned_book").select("en", "fr").write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).option("emptyValue", "").option("nullValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"file://{where}/csv")
-    return ingest.clean_rows(files.read_aligned_csv(spark, f"file://{where}/csv")).select("text_en", "text_fr")
+    """aligned_book written as CSV to the shared folder and imported again: kept rows, without order."""
+    where = scratch(spark, "csv")
+    table(spark, folder, "aligned_book").select("en", "fr").write.option("header", True).option("escape", '"').option("quoteAll", True).option("emptyValue", "").option("nullValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(where)
+    return ingest.clean_rows(files.read_aligned_csv(spark, where)).select("text_en", "text_fr")
+
+
+def _written(spark, folder, name):
+    """A table of the stores after one import of the folder's pairs."""
+    where = scratch(spark, "store")
+    docs = _docs(spark, folder)
+    if name == "documents":
+        files.write_documents(docs, where)
+    elif name in ("word_translations", "stem_forms"):
+        files.write_lexicon(docs, where)
+    else:
+        files.write_store(docs, where, ingest.BOOK_TITLE)
+    return spark.read.parquet(f"{where}/{name}")
+
+
+def stored_books(spark, folder):
+    """Books of the relational store as written."""
+    return _written(spark, folder, "books").select("id", "title", "language", "source")
+
+
+def stored_segments(spark, folder):
+    """Segments of the relational store as written."""
+    return _written(spark, folder, "segments")
+
+
+def stored_documents(spark, folder):
+    """Search documents as written, one for each id."""
+    return _written(spark, folder, "documents").select("doc_id", "pair_id", "text_en", "text_fr")
 
 
-def _shared(spark) -> str | None:
-    """The shared checkpoint folder, where it is a folder of the file system; None leaves it to tempfile, as in tests."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder and (folder.startswith("file:") or folder.startswith("/")):
-        path = folder.removeprefix("file://").removeprefix("file:")
-        os.makedirs(path, exist_ok=True)
-        return path
-    return None
+def stored_lexicon(spark, folder):
+    """The lexicon as written."""
+    return _written(spark, folder, "word_translations")
 
 
 QUERIES = {
@@ -295,7 +346,7 @@ QUERIES = {
     for f in (
         pairs_view, pair_ids, unpivot_by_lang, nonempty_filter, book_segment_expand, alignment_expand, alignment_pairs, clean_tokens, strip_accents, stop_filter, stem_en, stem_fr, tokenize_stem,
         sentence_stem_freq_en, sentence_stem_freq_fr, cooccurrence, dice_lexicon, store_lexicon, stem_forms, lexicon_entry_count, hints_top5, hints_surface_forms, stored_hints, bigram_jaccard,
-        length_ratio, position_similarity, adjective_flag, postings, term_stats, bm25_terms, min_should_match, phrase_slop1, fuzzy_terms, hybrid_topk, word_position, highlight_hint,
-        highlight_single, highlight_phrase, source_mark, search_results, search_response, csv_import,
+        length_ratio, position_similarity, adjective_flag, postings, term_stats, bm25_terms, min_should_match, phrase_slop1, fuzzy_terms, hybrid_topk, search_by_rows, word_position, highlight_hint,
+        highlight_single, highlight_phrase, source_mark, search_results, search_response, csv_import, stored_books, stored_segments, stored_documents, stored_lexicon,
     )
 }

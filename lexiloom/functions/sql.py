@@ -52,7 +52,7 @@ def _ends(w: str, suffix: str) -> str:
 
 def stem_en(x: str) -> str:
     w = f"lower({x})"
-    out = "case " + " ".join(f"when {w} in {listed(forms.split())} then '{lemma}'" for lemma, forms in IRREGULAR_EN.items())
+    out = "case " + " ".join(f"when {w} = '{form}' then '{stem}'" for form, stem in IRREGULAR_EN.items())
     for suffix, longer, drop, add, single in SUFFIXES_EN:
         base = f"left({w}, length({w}) - {drop})"
         if single:

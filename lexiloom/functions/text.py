@@ -59,11 +59,11 @@ def display(c: Column) -> Column:
 
 
 def is_stop(c: Column, lang: str) -> Column:
-    return strip_accents(c).isin(STOP.get(lang, STOP["fr"]))
+    return strip_accents(c).isin(*STOP.get(lang, STOP["fr"]))
 
 
 def is_adjective(c: Column, lang: str) -> Column:
-    return strip_accents(F.lower(c)).isin(ADJECTIVES.get(lang, ADJECTIVES["fr"]))
+    return strip_accents(F.lower(c)).isin(*ADJECTIVES.get(lang, ADJECTIVES["fr"]))
 
 
 def _drop(w: Column, n) -> Column:
@@ -84,8 +84,7 @@ def stem_en(w: Column) -> Column:
 
 
 def _irregular() -> Column:
-    pairs = [(form, lemma) for lemma, forms in IRREGULAR_EN.items() for form in forms.split()]
-    return F.map_from_arrays(F.array(*(F.lit(a) for a, _ in pairs)), F.array(*(F.lit(b) for _, b in pairs)))
+    return F.map_from_arrays(F.array(*map(F.lit, IRREGULAR_EN)), F.array(*map(F.lit, IRREGULAR_EN.values())))
 
 
 def stem_fr(bare: Column) -> Column:
@@ -113,7 +112,7 @@ def stem(c: Column, lang: str) -> Column:
 
 def is_stop_bare(bare: Column, lang: Column) -> Column:
     """Whether an accent-free word is a stop word of the language of a column."""
-    return F.when(lang == "en", bare.isin(STOP["en"])).otherwise(bare.isin(STOP["fr"]))
+    return F.when(lang == "en", bare.isin(*STOP["en"])).otherwise(bare.isin(*STOP["fr"]))
 
 
 def by_language(lang: Column, make) -> Column:
@@ -132,6 +131,11 @@ def bigram_similarity(a: Column, b: Column) -> Column:
     return F.when((F.length(a) < 2) | (F.length(b) < 2), F.when(a == b, 1.0).otherwise(0.0)).otherwise(F.size(both) / F.size(any_))
 
 
+def position_similarity(i: Column, n: Column, j: Column, m: Column) -> Column:
+    """Likeness of place i among n words and place j among m words, both from 0."""
+    return 1.0 - F.abs(i / n - j / m)
+
+
 def length_ratio(a: Column, b: Column) -> Column:
     return F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b))
 

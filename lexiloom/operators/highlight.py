@@ -62,8 +62,7 @@ def candidates(found: DataFrame) -> DataFrame:
     """scored: the target's words of two signs at least, with likeness, place and length against a one-word query."""
     q = F.get(F.col("asked"), F.lit(0))
     kept = F.filter("target", lambda t: (F.length(t["clean"]) >= 2) & (t["shown"] != ""))
-    relative = F.col("first_pos") / F.size("source")
-    scored = F.transform(kept, lambda t: F.struct(t["shown"].alias("shown"), T.bigram_similarity(q["bare"], t["bare"]).alias("like"), (1.0 - F.abs(relative - t["j"] / F.size("target"))).alias("place"), T.length_ratio(q["clean"], t["clean"]).alias("size")))
+    scored = F.transform(kept, lambda t: F.struct(t["shown"].alias("shown"), T.bigram_similarity(q["bare"], t["bare"]).alias("like"), T.position_similarity(F.col("first_pos"), F.size("source"), t["j"], F.size("target")).alias("place"), T.length_ratio(q["clean"], t["clean"]).alias("size")))
     return found.withColumn("scored", F.when((F.size("asked") == 1) & (F.col("first_pos") >= 0), scored))
 
 

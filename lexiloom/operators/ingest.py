@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
 from lexiloom.functions.lexicons import LANGUAGES
+from lexiloom.plans.staging import cut
 
-#: Rows numbered within one task when ids are given out.
-BLOCK = 1 << 16
+#: Bits of monotonically_increasing_id that count the rows of a partition; those above are the partition's number.
+PLACE_BITS = 33
 #: Fixed values of search documents.
 BOOK_ID, BOOK_TITLE = 1, "Thirty-six reasons for winning the lost"
 
@@ -33,15 +34,21 @@ def clean_rows(rows: DataFrame, mode: str = "relational", en: str = "en", fr: st
 
 
 def number_rows(df: DataFrame, order: str, ties: list[str], name: str = "pair_id") -> DataFrame:
-    """Consecutive numbers from 1 in the order of a bigint column, without one task for all rows.
-
-    Rows are numbered within blocks of the order's values; the blocks' sizes, one row for BLOCK values, give the offsets.
-    Nulls come first."""
-    block = F.coalesce(F.floor(F.col(order) / BLOCK), F.lit(-(1 << 60)))
-    sizes = df.groupBy(block.alias("block_")).agg(F.count(F.lit(1)).alias("size_"))
-    starts = sizes.select("block_", (F.sum("size_").over(Window.orderBy("block_")) - F.col("size_")).alias("start_"))
-    inside = F.row_number().over(Window.partitionBy("block_").orderBy(F.col(order).asc_nulls_first(), *ties))
-    return df.withColumn("block_", block).withColumn("inside_", inside).join(starts, "block_").withColumn(name, F.col("start_") + F.col("inside_")).drop("block_", "inside_", "start_")
+    """Consecutive numbers from 1 in the order of a column, without one task for all rows. Nulls come first.
+
+    Rows are dealt out by ranges of the order, whatever its values (dense, sparse, null or one value over and over, since ties
+    and then the place in the input part equal ones), sorted within a range and numbered there; the ranges' sizes, one row for
+    each, give the offsets."""
+    spark = df.sparkSession
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    keys = [F.col(order).asc_nulls_first(), *(F.col(t).asc_nulls_first() for t in ties), F.col("input_")]
+    spread = df.withColumn("input_", F.monotonically_increasing_id()).repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+    placed = cut(spread.drop("input_").withColumn("place_", F.monotonically_increasing_id()))
+    part = F.shiftright("place_", PLACE_BITS).alias("range_")
+    sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias("size_"))
+    starts = sizes.select("range_", (F.sum("size_").over(Window.orderBy("range_")) - F.col("size_")).alias("start_"))
+    number = F.col("start_") + F.col("place_").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)) + 1
+    return placed.withColumn("range_", part).join(F.broadcast(starts), "range_").withColumn(name, number).drop("range_", "place_", "start_")
 
 
 def pairs(rows: DataFrame, order: str = "row_id", mode: str = "relational") -> DataFrame:
@@ -73,14 +80,14 @@ def by_language(docs: DataFrame) -> DataFrame:
     return docs.select("pair_id", "position", "book_id", "book_title", F.inline(F.array(one(en, fr), one(fr, en))))
 
 
-def store(docs: DataFrame, title: str, author: str | None = None, year: int | None = None, first_book: int = 1, first_segment: int = 1) -> dict[str, DataFrame]:
+def store(docs: DataFrame, title: str, author: str | None = None, year: int | None = None, first_book: int = 1, first_segment: int = 1, source: str = "CSV import") -> dict[str, DataFrame]:
     """The relational store's new rows: books, segments and alignments of one import.
 
     Two books, `title (EN)` and `title (FR)`; segments numbered from first_segment, English before French within a pair;
     an alignment for each pair, confidence 1.0."""
     spark = docs.sparkSession
     books = spark.createDataFrame(
-        [(first_book, f"{title} (EN)", author, year, "en", "CSV import"), (first_book + 1, f"{title} (FR)", author, year, "fr", "CSV import")],
+        [(first_book, f"{title} (EN)", author, year, "en", source), (first_book + 1, f"{title} (FR)", author, year, "fr", source)],
         "id bigint, title string, author string, year int, language string, source string",
     )
     base = first_segment - 1

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
 from lexiloom.functions.lexicons import LANGUAGES
+from lexiloom.plans.skew import join_many, join_unique
+from lexiloom.plans.staging import cut
 
 #: Least Dice coefficient, before rounding.
 LEAST_DICE = 0.1
@@ -37,28 +39,59 @@ def frequencies(held: DataFrame) -> DataFrame:
 
 
 def cooccurrence(held: DataFrame, key: str = "pair_id") -> DataFrame:
-    """(en, fr, co): in how many pairs an English stem stands with a French one. Pairs are counted where they are formed, before the shuffle."""
+    """(en, fr, co): in how many pairs an English stem stands with a French one.
+
+    held is read several times. Pairs are counted where they are formed, before the shuffle, and a pair_id with a large
+    part of all stems is dealt out over many tasks."""
     en = held.where("lang = 'en'").select(key, F.col("stem").alias("en"))
     fr = held.where("lang = 'fr'").select(key, F.col("stem").alias("fr"))
-    return en.join(fr, key).groupBy("en", "fr").agg(F.count(F.lit(1)).alias("co"))
+    return join_many(en, fr, key, "en").groupBy("en", "fr").agg(F.count(F.lit(1)).alias("co"))
+
+
+def _dice(a: str, b: str) -> Column:
+    return 2.0 * F.col("co") / (F.col(a) + F.col(b))
 
 
 def lexicon(docs: DataFrame, key: str = "pair_id", least: float = LEAST_DICE) -> DataFrame:
     """(source_stem, source_lang, target_stem, target_lang, score, co_occurrence_count, source_count, target_count), both directions.
 
-    Kept where the unrounded Dice coefficient is at least `least`; the score has four decimals."""
-    held = memberships(stems(docs, key), key)
-    n = frequencies(held)
-    side = lambda x: n.where(F.col("lang") == x).select(F.col("stem").alias(x), F.col("n").alias(f"n_{x}"))
-    dice = 2.0 * F.col("co") / (F.col("n_en") + F.col("n_fr"))
-    kept = cooccurrence(held, key).join(side("en"), "en").join(side("fr"), "fr").withColumn("dice", dice).where(F.col("dice") >= least).withColumn("score", T.rounded(F.col("dice"), 4))
+    Kept where the unrounded Dice coefficient is at least `least`; the score has four decimals. Texts are stemmed once.
+    Each stem carries its frequency into the pairs, so pairs that can't reach `least` even if the rarer stem never stood
+    without the other are gone before they are counted."""
+    held = cut(memberships(stems(docs, key), key))
+    n = cut(frequencies(held))
+    sized = cut(join_unique(held, n, ["lang", "stem"], "n", held.count()))
+    side = lambda x: sized.where(F.col("lang") == x).select(key, F.col("stem").alias(x), F.col("n").alias(f"n_{x}"))
+    able = 2.0 * F.least("n_en", "n_fr") / (F.col("n_en") + F.col("n_fr")) >= least
+    counted = join_many(side("en"), side("fr"), key, "en").where(able).groupBy("en", "fr", "n_en", "n_fr").agg(F.count(F.lit(1)).alias("co"))
+    kept = counted.withColumn("dice", _dice("n_en", "n_fr")).where(F.col("dice") >= least).withColumn("score", T.rounded(F.col("dice"), 4))
     entry = lambda a, b: F.struct(F.col(a).alias("source_stem"), F.lit(a).alias("source_lang"), F.col(b).alias("target_stem"), F.lit(b).alias("target_lang"), F.col("score").alias("score"), F.col("co").alias("co_occurrence_count"), F.col(f"n_{a}").alias("source_count"), F.col(f"n_{b}").alias("target_count"))
     return kept.select(F.inline(F.array(entry("en", "fr"), entry("fr", "en"))))
 
 
+def lexicon_for(queries: DataFrame, found: DataFrame, key: str = "pair_id", least: float = LEAST_DICE) -> DataFrame:
+    """The lexicon's rows whose source is a stem of the queries' words; found is the result of `stems`, read several times.
+
+    Only pairs that hold such a stem are joined, so the work follows what is asked, not the vocabulary."""
+    held = cut(memberships(found, key))
+    asked = query_words(queries).select("lang", "stem").distinct()
+    source = held.join(asked, ["lang", "stem"], "left_semi").select(key, F.col("lang").alias("source_lang"), F.col("stem").alias("source_stem"))
+    target = held.select(key, F.col("lang").alias("target_lang"), F.col("stem").alias("target_stem"))
+    counted = cut(join_many(cut(source), target, key, "source_stem").where("source_lang <> target_lang").groupBy("source_lang", "source_stem", "target_lang", "target_stem").agg(F.count(F.lit(1)).alias("co")))
+    n = frequencies(held)
+    of = lambda x: n.select(F.col("lang").alias(f"{x}_lang"), F.col("stem").alias(f"{x}_stem"), F.col("n").alias(f"{x}_count"))
+    scored = counted.join(of("source"), ["source_lang", "source_stem"]).join(of("target"), ["target_lang", "target_stem"]).withColumn("dice", _dice("source_count", "target_count"))
+    return scored.where(F.col("dice") >= least).select("source_stem", "source_lang", "target_stem", "target_lang", T.rounded(F.col("dice"), 4).alias("score"), F.col("co").alias("co_occurrence_count"), "source_count", "target_count")
+
+
 def stem_forms(docs: DataFrame, key: str = "pair_id") -> DataFrame:
     """(stem, surface_form, language), each once."""
-    return stems(docs, key).select("stem", F.col("surface").alias("surface_form"), F.col("lang").alias("language")).distinct()
+    return forms_of(stems(docs, key))
+
+
+def forms_of(found: DataFrame) -> DataFrame:
+    """(stem, surface_form, language) of the result of `stems`, each once."""
+    return found.select("stem", F.col("surface").alias("surface_form"), F.col("lang").alias("language")).distinct()
 
 
 def query_words(queries: DataFrame) -> DataFrame:
@@ -90,6 +123,12 @@ def hints(queries: DataFrame, entries: DataFrame, forms: DataFrame) -> DataFrame
     return found.join(known, ["target_stem", "target_lang"]).select("query_id", "word_idx", "rank", "surface")
 
 
+def corpus_hints(queries: DataFrame, docs: DataFrame, key: str = "pair_id") -> DataFrame:
+    """The same with the lexicon and the stem forms of the pairs themselves; every text is stemmed once."""
+    found = cut(stems(docs, key))
+    return hints(queries, lexicon_for(queries, found, key), forms_of(found))
+
+
 def hint_lists(found: DataFrame) -> DataFrame:
     """(query_id, hints): the surfaces in order, repeats kept. At most LOOKUP_LIMIT stems of a query word, so lists are short."""
     return found.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "rank", "surface"))), lambda x: x["surface"]).alias("hints"))

@@ -151,7 +151,9 @@ def field_scores(queries: DataFrame, index: Index) -> DataFrame:
 def ranked(queries: DataFrame, index: Index) -> DataFrame:
     """(query_id, lang, pair_id, position, score, rank): each query's best pairs, at most its limit.
 
-    queries: (query_id, q, lang, limit). A pair needs a phrase, enough terms, or the whole field."""
+    queries: (query_id, q, lang, limit). A pair needs a phrase, enough terms, or the whole field. The largest limit, one
+    number, is read first: with it the ranking is a group limit, so every task hands on that many pairs of a query at most."""
+    most = queries.agg(F.max("limit")).first()[0] or 0
     asked = query_terms(queries)
     terms = text_scores(term_scores(asked, index), asked).select("query_id", "lang", "pair_id", (TEXT_BOOST * F.col("score")).alias("score"))
     best = terms.unionByName(field_scores(queries, index)).groupBy("query_id", "lang", "pair_id").agg(F.max("score").alias("score"))
@@ -159,7 +161,7 @@ def ranked(queries: DataFrame, index: Index) -> DataFrame:
     total = best.unionByName(phrase).groupBy("query_id", "lang", "pair_id").agg(T.rounded(F.sum("score"), 6).alias("score"))
     placed = total.join(index.rows.select("lang", "pair_id", "position"), ["lang", "pair_id"])
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "position")
-    return placed.withColumn("rank", F.row_number().over(order)).join(queries.select("query_id", "limit"), "query_id").where("rank <= limit").select("query_id", "lang", "pair_id", "position", "score", "rank")
+    return placed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= int(most)).join(queries.select("query_id", "limit"), "query_id").where("rank <= limit").select("query_id", "lang", "pair_id", "position", "score", "rank")
 
 
 def matched_terms(asked: DataFrame, stats: DataFrame) -> DataFrame:

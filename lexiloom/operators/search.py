@@ -10,6 +10,8 @@ from lexiloom.operators import highlight, ingest, lexicon, retrieval
 from lexiloom.plans.staging import cut
 
 DEFAULT_LANG, DEFAULT_LIMIT = "en", 20
+#: Columns of a result.
+RESULT = "query_id int, query string, lang string, rank int, segment_id bigint, book_id bigint, book_title string, language string, text string, text_highlighted string, alignment_text string, alignment_language string, alignment_id bigint, alignment_highlights array<string>"
 
 
 def checked(queries: DataFrame, on_error: str = "raise") -> DataFrame:
@@ -41,11 +43,24 @@ def search(queries: DataFrame, docs: DataFrame, entries: DataFrame | None = None
     (query_id, query, lang, rank, segment_id, book_id, book_title, language, text, text_highlighted, alignment_text,
     alignment_language, alignment_id, alignment_highlights).
 
-    entries and forms are the lexicon and its stem forms; without them they are derived from docs. An empty aligned text is null."""
+    entries and forms are the lexicon and its stem forms; without them both are derived from docs, for the words asked. An
+    empty aligned text is null. With an index of docs at hand, `results` saves building it."""
     asked = checked(queries, on_error)
-    entries = lexicon.lexicon(docs) if entries is None else entries
-    forms = lexicon.stem_forms(docs) if forms is None else forms
-    found = hits(asked, retrieval.build(ingest.by_language(docs))).join(lexicon.hint_lists(lexicon.hints(asked, entries, forms)), "query_id", "left")
+    hints = lexicon.corpus_hints(asked, docs) if entries is None or forms is None else lexicon.hints(asked, entries, forms)
+    return results(asked, retrieval.build(ingest.by_language(docs)), hints)
+
+
+def search_or_empty(queries: DataFrame, docs: DataFrame, *args) -> DataFrame:
+    """`search` run at once, with an empty result instead of an error, whatever fails (a missing file, a lost table, a bad query)."""
+    try:
+        return cut(search(queries, docs, *args, on_error="empty"))
+    except Exception:  # noqa: BLE001  the caller asked for an empty answer
+        return queries.sparkSession.createDataFrame([], RESULT)
+
+
+def results(asked: DataFrame, index: retrieval.Index, hints: DataFrame) -> DataFrame:
+    """The same from checked queries, an index and hints (query_id, word_idx, rank, surface)."""
+    found = hits(asked, index).join(lexicon.hint_lists(hints), "query_id", "left")
     return highlight.highlights(found).select(
         "query_id", F.col("q").alias("query"), "lang", "rank", "segment_id", "book_id", F.coalesce("book_title", F.lit("")).alias("book_title"), F.col("lang").alias("language"), "text", "text_highlighted",
         F.nullif("alignment_text", F.lit("")).alias("alignment_text"), F.col("alignment_lang").alias("alignment_language"), "alignment_id", "alignment_highlights",

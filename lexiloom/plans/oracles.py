@@ -4,7 +4,7 @@ from __future__ import annotations
 from lexiloom.functions import sql as S
 from lexiloom.functions.lexicons import STOP
 from lexiloom.operators.ingest import BOOK_ID, BOOK_TITLE
-from lexiloom.plans.samples import sample_sql
+from lexiloom.plans.samples import row_sql, sample_sql
 
 _A, _B = S.trim("coalesce(en, '')"), S.trim("coalesce(fr, '')")
 
@@ -119,7 +119,7 @@ ORACLES = {
     "stored_hints": _with(f"select distinct l.query_id, l.word_idx::int as word_idx, l.rank::int as rank, f.surface_form as surface from stored_looked l join (select * from stem_forms) f on f.stem = l.target_stem and f.language = case when l.lang = 'en' then 'fr' else 'en' end where not case when l.lang = 'en' then {S.is_stop('l.target_stem', 'fr')} else {S.is_stop('l.target_stem', 'en')} end"),
     "bigram_jaccard": _with(f"select en as a, fr as b, {S.bigram_similarity('en', 'fr')} as similarity from dice"),
     "length_ratio": _with("select en as a, fr as b, least(length(en), length(fr))::double / greatest(length(en), length(fr)) as ratio from dice"),
-    "position_similarity": _with(f"select row_id, 1.0::double - abs((a - 1)::double / a - (b - 1)::double / b) as last_similarity, 1.0::double - abs((a - 1)::double / a - 0.0::double) as ends_similarity from (select row_id, len({S.words('text_en')}) as a, len({S.words('text_fr')}) as b from kept)"),
+    "position_similarity": _with(f"select row_id, i::int as i, floor(i * (b::double / a))::int as j, 1.0::double - abs(i::double / a - floor(i * (b::double / a)) / b) as similarity from (select row_id, a, b, unnest(range(a)) as i from (select row_id, len({S.words('text_en')}) as a, len({S.words('text_fr')}) as b from kept))"),
     "adjective_flag": _with(f"select lang, clean, case when lang = 'en' then {S.is_adjective('clean', 'en')} else {S.is_adjective('clean', 'fr')} end as adjective from cleaned"),
     "postings": _with("select lang, pair_id, term, position::int as position from posted"),
     "term_stats": _with(f"select lang, term, df, n_docs, {S.rounded('avg_dl', 6)} as avg_dl from stats join whole using (lang)"),
@@ -129,6 +129,9 @@ ORACLES = {
     "fuzzy_terms": _with("select query_id, lang, qterm, term, edits, df from expanded"),
     "hybrid_topk": _with("select query_id, lang, pair_id, position, score, rank::int as rank from ranked"),
     "csv_import": _with("select text_en, text_fr from kept"),
+    "stored_books": f"select * from (values (1::bigint, {S.quoted(BOOK_TITLE + ' (EN)')}, 'en', 'CSV import'), (2::bigint, {S.quoted(BOOK_TITLE + ' (FR)')}, 'fr', 'CSV import')) v(id, title, language, source)",
+    "stored_documents": _with("select 'pair-' || pair_id as doc_id, pair_id, text_en, text_fr from docs"),
+    "stored_lexicon": _with("select * from lexicon"),
 }
 _hits_sql = _with("select * from hits")
 ORACLES["word_position"] = (
@@ -178,3 +181,23 @@ ORACLES["highlight_phrase"] = (
 
 _stored = ORACLES["alignment_pairs"]
 ORACLES["store_lexicon"] = ORACLES["dice_lexicon"].replace(CTE["kept"], f"select row_number() over () as row_id, text_en, text_fr from (select distinct pair_id, text_en, text_fr from ({_stored}))")
+ORACLES["stored_segments"] = ORACLES["book_segment_expand"]
+ORACLES["search_by_rows"] = ORACLES["hybrid_topk"].replace(CTE["queries"], "select * from " + row_sql("kept"))
+
+_marks = _with("select * from hits join expanded using (query_id)").removesuffix(" select * from hits join expanded using (query_id)")
+_MARKED = rf"""pieces as materialized (select query_id, rank, lang, unnest(range(len(p))) as i, unnest(p) as piece from (select query_id, rank, lang, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+') as p from hits)),
+piece_words as materialized (select lang, piece, case when lang = 'en' then {S.is_stop('lower(piece)', 'en')} else {S.is_stop('lower(piece)', 'fr')} end as stop, case when lang = 'en' then {S.stem_en('lower(piece)')} else {S.stem_fr('lower(piece)')} end as term from (select distinct lang, piece from pieces) where regexp_matches(piece, '^[\p{{L}}\p{{N}}]')),
+wanted as materialized (select distinct query_id, term from expanded),
+marked_text as materialized (select p.query_id, p.rank, string_agg(case when w.term is not null then '<mark>' || p.piece || '</mark>' else p.piece end, '' order by p.i) as text_highlighted
+  from pieces p left join piece_words k on k.lang = p.lang and k.piece = p.piece and not k.stop left join wanted w on w.query_id = p.query_id and w.term = k.term group by all)"""
+ORACLES["source_mark"] = _marks + f", {_MARKED} select query_id, rank::int as rank, text, text_highlighted from hits join marked_text using (query_id, rank)"
+_RESULTS = f"""select h.query_id, q.q as query, h.lang, h.rank::int as rank, l.segment_id, {BOOK_ID}::bigint as book_id, {S.quoted(BOOK_TITLE)} as book_title, h.lang as language, h.text, m.text_highlighted, l.alignment_text, l.alignment_lang as alignment_language, l.alignment_id,
+  case when s.query_id is not null then case when coalesce(n.hint, s.word) is null then []::varchar[] else [coalesce(n.hint, s.word)] end when p.words is null or p.words = '' then []::varchar[] else string_split(p.words, '|') end as alignment_highlights
+  from hits h join (select query_id, {S.trim('q')} as q from queries) q using (query_id) join langs l on l.lang = h.lang and l.pair_id = h.pair_id join marked_text m on m.query_id = h.query_id and m.rank = h.rank
+  left join ({ORACLES['highlight_hint']}) n on n.query_id = h.query_id and n.rank = h.rank left join ({ORACLES['highlight_single']}) s on s.query_id = h.query_id and s.rank = h.rank left join ({ORACLES['highlight_phrase']}) p on p.query_id = h.query_id and p.rank = h.rank"""
+ORACLES["search_results"] = _marks + f", {_MARKED}, results as materialized ({_RESULTS}) select * replace (array_to_string(alignment_highlights, '|') as alignment_highlights) from results"
+ORACLES["search_response"] = (
+    _marks
+    + f""", {_MARKED}, results as materialized ({_RESULTS}), listed as (select query_id, list(struct_pack(segment_id := segment_id, book_id := book_id, book_title := book_title, "language" := "language", text := text, text_highlighted := text_highlighted, alignment_text := alignment_text, alignment_language := alignment_language, alignment_id := alignment_id, alignment_highlights := alignment_highlights) order by rank) as results from results group by query_id)
+  select q.query_id, to_json(struct_pack(query := {S.trim('q.q')}, lang := q.lang, count := len(coalesce(l.results, [])), results := coalesce(l.results, [])))::varchar as response from queries q left join listed l using (query_id)"""
+)

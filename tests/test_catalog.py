@@ -9,7 +9,6 @@ import __spark_entry__ as entry
 from lexiloom import catalog
 
 FOLDER = "/root/testdata/sf0.001"
-CHECKED = ["pair_ids", "alignment_pairs", "dice_lexicon", "stored_hints", "hybrid_topk", "word_position"]
 needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
 
 
@@ -20,7 +19,7 @@ def plain(v):
 
 
 @needs_data
-@pytest.mark.parametrize("name", CHECKED)
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()

@@ -178,3 +178,69 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in" / "b.csv").write_text("en,fr\nd,e\n", encoding="utf-8")
     run()
     assert sorted((r.text_en, r.text_fr) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", "b"), ("d", "e")]
+
+
+def test_one_key_with_half_of_all_rows(spark):
+    """Stems of one pair, pairs of one key and rows of one order value are dealt out, and nothing is lost."""
+    from pyspark.sql import functions as F
+
+    from lexiloom.plans import skew
+
+    left = spark.createDataFrame([(0, i) for i in range(3000)] + [(k, k) for k in range(1, 3000)], "key int, a int")
+    right = spark.createDataFrame([(0, i) for i in range(50)] + [(k, k) for k in range(1, 3000)], "key int, b int")
+    met = skew.join_many(left, right, "key", "a", replica_rows=500)
+    assert met.count() == 3000 * 50 + 2999 and met.distinct().count() == met.count() and met.columns == ["key", "a", "b"]
+    rows = spark.range(2000).select(F.when(F.col("id") < 1000, F.lit(None)).otherwise(F.xxhash64("id")).alias("row_id"), F.lit("x").alias("en"))
+    numbered = ingest.number_rows(rows, "row_id", ["en"]).cache()
+    assert [r.pair_id for r in numbered.select("pair_id").orderBy("pair_id").collect()] == list(range(1, 2001))
+    assert numbered.where("row_id is null").agg(F.max("pair_id")).first()[0] == 1000
+    assert numbered.where("row_id is not null").selectExpr("row_id", "lag(row_id) over (order by pair_id) as before").where("before > row_id").isEmpty()
+
+
+def test_lexicon_of_what_is_asked(spark, docs):
+    queries = ask(spark, ("lost the shepherd", "en", 3), ("perdus", "fr", 3))
+    whole = {tuple(r) for r in lexicon.lookup(queries, lexicon.lexicon(docs)).collect()}
+    assert whole and {tuple(r) for r in lexicon.lookup(queries, lexicon.lexicon_for(queries, lexicon.stems(docs))).collect()} == whole
+
+
+def test_ranking_has_a_group_limit(spark, docs):
+    plan = retrieval.ranked(ask(spark, ("lost", "en", 10)), retrieval.build(ingest.by_language(docs)))._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_sinks(spark, tmp_path, docs):
+    store = str(tmp_path / "s")
+    assert files.write_store(docs, store, "T", source="a.csv") == (1, 2) and files.write_store(docs, store, "T") == (3, 4)
+    with files.locked(spark, store), pytest.raises(RuntimeError):
+        files.write_store(docs, store, "T")
+    (tmp_path / "s" / "books").rename(tmp_path / "s" / "gone")
+    (tmp_path / "s" / "books").mkdir()  # a folder that can't be read is not an empty store
+    with pytest.raises(Exception):
+        files.write_store(docs, store, "T")
+    index = str(tmp_path / "i")
+    one = lambda i, k, a, b: (i, k, a, b)
+    make = lambda *rows: spark.createDataFrame(rows, "doc_id string, pair_id bigint, text_en string, text_fr string")
+    bad = [one(None, k, "x", "y") for k in range(7)]
+    written, errors = files.write_documents(make(one("a", 1, "x", "y"), one("a", 2, "z", "y"), one("b", 1, None, "y"), *bad), index)
+    assert written == 2 and len(errors) == 5 and errors[0] == {"doc_id": None, "pair_id": 0, "reason": "no doc_id"}
+    files.write_documents(make(one("a", 3, "new", "y"), one("c", 1, "c", "c")), index, keep=True)
+    assert {(r.doc_id, r.text_en) for r in files.read_documents(spark, index).collect()} == {("a", "new"), ("c", "c")}
+
+
+def test_settings_and_command_line(spark, tmp_path):
+    from lexiloom import __main__ as cli
+    from lexiloom import settings
+
+    (tmp_path / "env").write_text(f"# x\nSTORE_PATH='{tmp_path}/store'\nINDEX_PATH={tmp_path}/index\nOTHER=1\n\n", encoding="utf-8")
+    at = settings.load(str(tmp_path / "env"), {"INDEX_NAME": "pairs", "STORE_PATH": ""})
+    assert at == settings.Settings(f"{tmp_path}/store", f"{tmp_path}/index", "pairs") and settings.load(str(tmp_path / "none"), {}) == settings.Settings()
+    (tmp_path / "a.csv").write_text("en,fr\nThe lost sheep.,La brebis perdue.\nThe lost coin.,La pièce perdue.\n", encoding="utf-8")
+    call = lambda *a: cli.run(spark, cli.parser().parse_args(["--settings", str(tmp_path / "env"), *a]))
+    assert call("import", str(tmp_path / "a.csv"), "--title", "T").startswith("books 1 and 2, 2 pairs, ")
+    assert call("index", str(tmp_path / "a.csv")) == "2 documents"
+    assert json.loads(call("search", "coin"))["count"] == 1
+
+
+def test_errors_to_empty(spark, docs):
+    assert search.search_or_empty(ask(spark, ("", "en", 1)), docs).count() == 0
+    assert search.search_or_empty(ask(spark, ("lost", "en", 1)), docs.drop("text_en")).isEmpty()
