@@ -17,7 +17,7 @@ def p1_found(spark, folder):
 
 def p1_aligned(spark, folder):
     """The same pairs by language, with a score."""
-    return alignment.align(table(spark, folder, "books"), spread(table(spark, folder, "segments")), spread(table(spark, folder, "aligned_book")))
+    return alignment.align(table(spark, folder, "books"), spread(table(spark, folder, "segments")), spread(table(spark, folder, "aligned_book")), stored=table(spark, folder, "alignments"))
 
 
 def p2_found(spark, folder):

@@ -30,6 +30,8 @@ SCRIPTS = {
     "a": "а", "c": "сϲ", "d": "ԁ", "e": "е", "h": "һ", "i": "і", "j": "јϳ", "l": "ӏ", "o": "οоօ", "p": "р", "q": "ԛ", "s": "ѕ", "w": "ԝ", "x": "х", "y": "уү",
     "-": "‐‑﹣", ";": ";", "·": "·",
 }
+#: The same, letter by letter.
+LETTERS = {c: letter for letter, others in SCRIPTS.items() for c in others}
 #: Compatibility forms that print as the letters they stand for.
 KINDS = ("<wide>", "<narrow>", "<noBreak>")
 LIGATURES = [*range(0xFB00, 0xFB07), 0xFB13, 0xFB14, 0xFB15, 0xFB16, 0xFB17, 0x132, 0x133, 0x1C4, 0x1C5, 0x1C6, 0x1C7, 0x1C8, 0x1C9, 0x1CA, 0x1CB, 0x1CC, 0x1F1, 0x1F2, 0x1F3, *range(0x2160, 0x2180)]

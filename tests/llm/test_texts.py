@@ -266,7 +266,24 @@ def test_single_sentences_moved_out_of_reach_of_their_cell(spark):
 
 
 def test_clauses_and_terms():
-    assert alignment.clauses('He came. "She left," he said; it rained.') == ["He came.", '"She left," he said', "it rained."]
-    assert alignment.terms("Ｔhe Œuvre е́té 6 570, twelve") == ["the", "oeuvre", "ete", "6570", "12"]
-    assert alignment.terms(None) == [] and alignment.clauses(None) == []
-    assert unicodedata.normalize("NFC", "é") == "é"
+    assert alignment.clauses('He came. "She left," he said; it rained.') == [["he", "came"], ["she", "left", "he", "said"], ["it", "rained"]]
+    assert alignment.clauses("A b, and c d e f. \nG… H!") == [["a", "b"], ["c", "d", "e", "f"], ["g"], ["h"]]
+    assert alignment.terms("Ｔhe Œuvre е́té 6 570, twelve") == ["the", "oeuvre", "ete", "6570", "twelve"]
+    assert alignment.terms(None) == [] and alignment.clauses(None) == [] and alignment.clauses(" ?! ") == []
+    both = alignment.Words.of(["a. b c", None, "", "d"])
+    assert [both.names[c] for c in both.codes] == ["a", "b", "c", "d"] and both.row.tolist() == [0, 0, 3] and both.parts().tolist() == [0, 1, 0]
+
+
+def test_terms_beyond_the_decomposition_are_projected(spark):
+    """With a vocabulary of a few terms all others still find their translations, since they stand in the same pairs."""
+    rng = random.Random(3)
+    training = spark.createDataFrame([sentence(rng) for _ in range(500)], "en string, fr string")
+    space = alignment.learn(training, "en", "fr", vocabulary=4)
+    assert [len(v) for v in space.vectors] == [4, 4]
+    en, fr = list(NOUNS), [alignment.terms(x)[0] for x in NOUNS.values()]
+    like = space.lookup(en, 0)[0] @ space.lookup(fr, 1)[0].T
+    outside = [i for i, (a, b) in enumerate(zip(en, fr)) if space.index[0][a] >= 4 and space.index[1][b] >= 4]
+    assert len(outside) > 10 and all(like[i].argmax() == i and like[i, i] > 0.8 for i in outside)
+    assert space.lookup(["xyzzy"], 0)[0] @ space.lookup(["xyzzy"], 1)[0].T == pytest.approx(1)
+
+
