@@ -83,7 +83,7 @@ class _Fold(dict):
         return out
 
 
-_fold = _Fold()
+_fold = _Fold({10: "\n"})  # stands between texts; texts' own line ends are blanks by then
 
 
 @dataclass
@@ -100,8 +100,7 @@ class Words:
         none = np.zeros(0, np.int64)
         if not texts:
             return cls([], none, np.zeros(1, np.int64), none)
-        whole = "\n".join((x.replace("\n", " ") if "\n" in x else x) if x else "" for x in texts)
-        folded = "\n".join(x.translate(_fold) for x in whole.split("\n"))
+        folded = "\n".join((x.replace("\n", " ") if "\n" in x else x) if x else "" for x in texts).translate(_fold)
         found = pa.array(_marks.findall(_thousands.sub("", folded) + "\n"), pa.string()).dictionary_encode()
         names, codes = found.dictionary.to_pylist(), np.asarray(found.indices).astype(np.int64)
         mark = np.array([not x[0].isalnum() for x in names], bool)[codes]

@@ -2,7 +2,7 @@
 
 Each text is read by the reader of its dialect, told from the signs it uses (never from its file name), into one kind of
 tree. Tree scoring then finds the main content: paragraphs pass points for length and commas to the containers above them,
-discounted by link density; the best container and its siblings are kept, so containers of navigation fall away.
+discounted by link density; the best container and its siblings are kept, so navigation, sidebars and link lists fall away.
 Texts are independent of one another: one narrow pass without a shuffle, whatever the size.
 """
 from __future__ import annotations
@@ -17,21 +17,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Elements of HTML that stand by themselves, and those without content.
-BLOCKS = "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul".split()
-EMPTY = "area base br col embed hr img input link meta source track wbr".split()
-INLINE = "a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
-HIDDEN = "head script style template noscript title textarea".split()
-CONTAINERS = "article aside body div footer header html main nav section".split()
+BLOCKS = [
+    "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure",
+    "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "table", "tbody",
+    "td", "tfoot", "th", "thead", "tr", "ul",
+]
+EMPTY = [
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr",
+]
+INLINE = [
+    "a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp",
+    "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+]
+HIDDEN = [
+    "head", "script", "style", "template", "noscript", "title", "textarea",
+]
+CONTAINERS = [
+    "article", "aside", "body", "div", "footer", "header", "html", "main", "nav", "section",
+]
 #: TeX commands that print a sign, and accents as combining marks.
 TEX_SIGNS = {"oe": "œ", "OE": "Œ", "ae": "æ", "AE": "Æ", "aa": "å", "AA": "Å", "o": "ø", "O": "Ø", "l": "ł", "L": "Ł", "ss": "ß", "i": "ı", "j": "ȷ", "ldots": "…", "dots": "…", "textellipsis": "…", "textbackslash": "\\", "textasciitilde": "~", "textasciicircum": "^", "textquotedblleft": "“", "textquotedblright": "”", "textquoteleft": "‘", "textquoteright": "’", "guillemotleft": "«", "guillemotright": "»", "og": "« ", "fg": " »", "textendash": "–", "textemdash": "—", "S": "§", "P": "¶", "copyright": "©", "pounds": "£", "euro": "€", "TeX": "TeX", "LaTeX": "LaTeX", "quad": " ", "qquad": " ", "textbar": "|", "textless": "<", "textgreater": ">", "textdollar": "$"}
 TEX_ACCENTS = {"'": "\u0301", "`": "\u0300", "^": "\u0302", '"': "\u0308", "~": "\u0303", "=": "\u0304", ".": "\u0307", "u": "\u0306", "v": "\u030c", "H": "\u030b", "c": "\u0327", "k": "\u0328", "r": "\u030a", "b": "\u0331", "d": "\u0323"}
-TEX_SECTIONS = "part chapter section subsection subsubsection paragraph subparagraph".split()
-TEX_DROPPED = "label footnote footnotetext thanks index includegraphics documentclass usepackage input include bibliography bibliographystyle cite citep citet ref pageref vspace hspace setcounter pagestyle thispagestyle title author date".split()
-TEX_LISTS = "itemize enumerate description".split()
-TEX_CODE = "verbatim verbatim* Verbatim lstlisting minted alltt".split()
-TEX_MATH = "equation equation* align align* gather gather* multline multline* eqnarray eqnarray* displaymath math".split()
+TEX_SECTIONS = [
+    "part", "chapter", "section", "subsection", "subsubsection", "paragraph", "subparagraph",
+]
+TEX_DROPPED = [
+    "label", "footnote", "footnotetext", "thanks", "index", "includegraphics", "documentclass", "usepackage", "input", "include", "bibliography",
+    "bibliographystyle", "cite", "citep", "citet", "ref", "pageref", "vspace", "hspace", "setcounter", "pagestyle", "thispagestyle", "title",
+    "author", "date",
+]
+TEX_LISTS = [
+    "itemize", "enumerate", "description",
+]
+TEX_CODE = [
+    "verbatim", "verbatim*", "Verbatim", "lstlisting", "minted", "alltt",
+]
+TEX_MATH = [
+    "equation", "equation*", "align", "align*", "gather", "gather*", "multline", "multline*", "eqnarray", "eqnarray*", "displaymath", "math",
+]
 #: Of a container's score a sibling container must have this share to be kept; more than this part of its text in links drops it.
-SIBLING_SHARE, LINK_LIMIT = 0.2, 0.5
+#: A list of fewer items is never taken for navigation.
+SIBLING_SHARE, LINK_LIMIT, LEAST_ITEMS = 0.2, 0.5, 3
 
 
 @dataclass
@@ -56,6 +82,9 @@ class Node:
             stack.extend(reversed(node.children))
 
 
+_aside = re.compile("\ue000(\\d+)\ue001")
+
+
 class Kept:
     """Stretches of a text set aside while the rest is worked on; a private-use sign and a number stand for each."""
 
@@ -68,14 +97,12 @@ class Kept:
         return f"\ue000{len(self.items) - 1}\ue001"
 
     def restore(self, text: str) -> str:
-        for _ in range(8):
-            text, n = re.subn("\ue000(\\d+)\ue001", lambda m: self.items[int(m[1])][1], text)
-            if not n:
-                break
+        while "\ue000" in text:  # what is set aside holds only what was set aside before it
+            text = _aside.sub(lambda m: self.items[int(m[1])][1], text)
         return text
 
     def inside(self, text: str):
-        return [self.items[int(k)] for k in re.findall("\ue000(\\d+)\ue001", text)]
+        return [self.items[int(k)] for k in _aside.findall(text)] if "\ue000" in text else []
 
 
 def squeeze(text: str) -> str:
@@ -99,6 +126,8 @@ def _formulas(node: Node, text: str, kept: Kept) -> None:
 
 _tag = re.compile(r"<!--.*?(?:-->|\Z)|<![A-Za-z\[][^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\s+[^\s\"'<>/=]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))?)*\s*/?)>", re.S)
 _tex_in_html = re.compile(r"\\\((.+?)\\\)|\\\[(.+?)\\\]|\$\$(.+?)\$\$", re.S)
+_literal = re.compile("\ue002(.*?)\ue003", re.S)
+_ends = {name: re.compile(rf"</{name}\s*>", re.I) for name in [*HIDDEN, "pre"]}
 _closers = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
 
@@ -114,8 +143,10 @@ def read_html(text: str, root: Node) -> None:
             kept = Kept()
             raw = "".join(t for _, t in pieces)
             linked = sum(len(squeeze(t)) for in_link, t in pieces if in_link)
-            raw = re.sub("\ue002(.*?)\ue003", lambda m: kept.put("literal", m[1]), raw, flags=re.S)
-            raw = _tex_in_html.sub(lambda m: kept.put("formula", squeeze(kept.restore(m[1] or m[2] or m[3]))), raw)
+            if "\ue002" in raw:
+                raw = _literal.sub(lambda m: kept.put("literal", m[1]), raw)
+            if "\\" in raw or "$$" in raw:
+                raw = _tex_in_html.sub(lambda m: kept.put("formula", squeeze(kept.restore(m[1] or m[2] or m[3]))), raw)
             if node.kind in ("heading", "para") and not node.text:
                 at = node
             else:
@@ -149,9 +180,8 @@ def read_html(text: str, root: Node) -> None:
             continue
         name, closing = m[2].lower(), bool(m[1])
         if name in HIDDEN and not closing:
-            if name != "title" or find({"head"}) or True:
-                end = re.compile(rf"</{name}\s*>", re.I).search(text, at)
-                at = end.end() if end else len(text)
+            end = _ends[name].search(text, at)
+            at = end.end() if end else len(text)
             continue
         if name == "a":
             link = max(0, link + (-1 if closing else 1))
@@ -162,7 +192,7 @@ def read_html(text: str, root: Node) -> None:
                 literal = 0 if closing else 1
                 pieces.append((False, "\ue003" if closing else "\ue002"))
         elif name == "pre" and not closing:
-            end = re.compile(r"</pre\s*>", re.I).search(text, at)
+            end = _ends["pre"].search(text, at)
             inner = text[at : end.start() if end else len(text)]
             at = end.end() if end else len(text)
             if k := find({"p"}):
@@ -216,6 +246,11 @@ _marker = re.compile(r"( *)([-*+]|\(?\d{1,9}[.)]|#\.)( +|\t)(?=\S)")
 _html_block = re.compile(r" {0,3}<(/?)(" + "|".join([*BLOCKS, *HIDDEN]) + r")(?=[\s/>])", re.I)
 _note = re.compile(r" {0,3}\[\^[^\]\s]+\]:[ \t]?")
 _reference = re.compile(r" {0,3}\[([^\]^][^\]]*)\]:[ \t]*\S+.*$")
+_quoted = re.compile(r"^(?: {0,3}> ?)+")
+_quote = re.compile(r" {0,3}>")
+_fences = re.compile(r" {0,3}:{3,}")
+_hashes = re.compile(r" {0,3}#{1,6}$")
+_under = re.compile(r" {0,3}(=+|-{2,}) *")
 _attributes = re.compile(r"[ \t]*\{[#.:][^{}]*\}[ \t]*$")
 
 
@@ -231,11 +266,13 @@ def read_markdown(text: str, root: Node) -> None:
                 if any(re.match(r"[\w-]+\s*:", x) for x in lines[1:k]):
                     lines = lines[k + 1 :]
                 break
-    references = {m[1].lower() for x in lines if (m := _reference.match(x))}
-    _markdown_blocks(lines, root, references, 0)
+    references = {m[1].lower() for x in lines if "]:" in x and (m := _reference.match(x))}
+    todo = [(lines, root)]
+    while todo:  # what is nested in a quotation, an item or a note waits its turn, however deep it is
+        _markdown_blocks(*todo.pop(), references, todo)
 
 
-def _markdown_blocks(lines: list[str], parent: Node, references: set[str], depth: int) -> None:
+def _markdown_blocks(lines: list[str], parent: Node, references: set[str], todo: list) -> None:
     i, n = 0, len(lines)
     while i < n:
         line = lines[i]
@@ -263,21 +300,21 @@ def _markdown_blocks(lines: list[str], parent: Node, references: set[str], depth
                 i += 1
             i += 1
             parent.add("code", "\n".join(code))
-        elif re.match(r" {0,3}:{3,}", line):
+        elif _fences.match(line):
             i += 1
-        elif (m := _atx.match(line)) and not re.match(r" {0,3}#{1,6}$", line):
+        elif (m := _atx.match(line)) and not _hashes.match(line):
             _markdown_inline(parent.add("heading", level=len(m[1])), _attributes.sub("", m[2] or ""), references)
             i += 1
         elif _rule.match(line):
             i += 1
-        elif re.match(r" {0,3}>", line):
+        elif _quote.match(line):
             inner = []
-            while i < n and lines[i].strip() and (re.match(r" {0,3}>", lines[i]) or inner and not _starts_block(lines[i])):
-                inner.append(re.sub(r"^ {0,3}> ?", "", lines[i]))
+            while i < n and lines[i].strip() and (_quote.match(lines[i]) or inner and not _starts_block(lines[i])):
+                inner.append(_quoted.sub("", lines[i], 1))
                 i += 1
-            _nested(inner, parent.add("quote"), references, depth)
+            todo.append((inner, parent.add("quote")))
         elif _marker.match(line) and _indent(line) < 4:
-            i = _markdown_list(lines, i, parent, references, depth)
+            i = _markdown_list(lines, i, parent, todo)
         elif _indent(line) >= 4:
             code = []
             while i < n and (not lines[i].strip() or _indent(lines[i]) >= 4):
@@ -290,7 +327,7 @@ def _markdown_blocks(lines: list[str], parent: Node, references: set[str], depth
             while i < n and (lines[i].strip() and not (_starts_block(lines[i]) or _note.match(lines[i])) or not lines[i].strip() and i + 1 < n and _indent(lines[i + 1]) >= 4):
                 inner.append(lines[i][4:] if _indent(lines[i]) >= 4 else lines[i])
                 i += 1
-            _nested(inner, parent.add("note"), references, depth)
+            todo.append((inner, parent.add("note")))
         elif _reference.match(line):
             i += 1
         elif m := _html_block.match(line):
@@ -303,22 +340,15 @@ def _markdown_blocks(lines: list[str], parent: Node, references: set[str], depth
             i = _markdown_paragraph(lines, i, parent, references)
 
 
-def _nested(lines: list[str], node: Node, references: set[str], depth: int) -> None:
-    if depth < 60:
-        _markdown_blocks(lines, node, references, depth + 1)
-    else:  # nothing meaningful is nested that deep
-        _markdown_inline(node.add("para"), "\n".join(lines), references)
-
-
 def _starts_block(line: str) -> bool:
-    return bool(_fence.match(line) or _atx.match(line) and not line.strip("# ") == "" or _marker.match(line) and _indent(line) < 4 or re.match(r" {0,3}>", line) or _rule.match(line))
+    return bool(_fence.match(line) or _atx.match(line) and not line.strip("# ") == "" or _marker.match(line) and _indent(line) < 4 or _quote.match(line) or _rule.match(line))
 
 
 def _markdown_paragraph(lines: list[str], i: int, parent: Node, references: set[str]) -> int:
     """Lines up to a blank one, a fence or an underline; a marker within a paragraph is text, as where a year begins a line."""
     start = i
-    while i < len(lines) and lines[i].strip() and not (i > start and (_fence.match(lines[i]) or lines[i].lstrip().startswith("<!--") or re.match(r" {0,3}:{3,}", lines[i]))):
-        if i > start and re.fullmatch(r" {0,3}(=+|-{2,}) *", lines[i]):
+    while i < len(lines) and lines[i].strip() and not (i > start and (_fence.match(lines[i]) or lines[i].lstrip().startswith("<!--") or _fences.match(lines[i]))):
+        if i > start and _under.fullmatch(lines[i]):
             _markdown_inline(parent.add("heading", level=1 if "=" in lines[i] else 2), _attributes.sub("", "\n".join(lines[start:i])), references)
             return i + 1
         i += 1
@@ -327,7 +357,7 @@ def _markdown_paragraph(lines: list[str], i: int, parent: Node, references: set[
     return i
 
 
-def _markdown_list(lines: list[str], i: int, parent: Node, references: set[str], depth: int) -> int:
+def _markdown_list(lines: list[str], i: int, parent: Node, todo: list) -> int:
     first = _marker.match(lines[i])
     family = first[2][-1] if first[2][-1] in ".)" else first[2]
     here = parent.add("list", level=int(first[2] not in "-*+"))
@@ -352,13 +382,21 @@ def _markdown_list(lines: list[str], i: int, parent: Node, references: set[str],
                 inner.append(line)  # a lazy line of the paragraph
             blank = False
             i += 1
+        item = here.add("item")
+        if len(inner) == 1:  # markers behind one another on a line: lists within lists, taken at once
+            rest, at = inner[0], 0
+            signs = len(rest.rstrip(" \t-*_"))  # only from here on can it be a rule
+            while (m := _marker.match(rest, at)) and not (at >= signs and _rule.match(rest, at)):
+                item, at = item.add("list", level=int(m[2] not in "-*+")).add("item"), m.end()
+            todo.append(([rest[at:]], item))
+            continue
         # a nested list needs no blank line before it within an item
         spaced = []
         for k, x in enumerate(inner):
             if k and inner[k - 1].strip() and _marker.match(x) and not _marker.match(inner[k - 1]) and _indent(x) < 4 and not (spaced and _indent(inner[k - 1]) >= 2):
                 spaced.append("")
             spaced.append(x)
-        _nested(spaced, here.add("item"), references, depth)
+        todo.append((spaced, item))
     return i
 
 
@@ -392,10 +430,29 @@ _md_literal = re.compile(r"\\([!-/:-@\[-`{-~])|\\\n|(?<!`)(`+)(?!`)(.+?)(?<!`)\2
 _money = re.compile(r"\d[\d.,\s]*(?:$|[^\W\d_]{2,}|\s)")
 _md_image = re.compile(r"!\[((?:[^\[\]]|\[[^\[\]]*\])*)\](?:\([^()]*(?:\([^()]*\)[^()]*)*\)|\[[^\]]*\])(?:\{[^{}]*\})?")
 _md_link = re.compile(r"\[((?:[^\[\]]|\[[^\[\]]*\])*)\](\((?:[^()]|\([^()]*\))*\)|\{[^{}]*\}|\[[^\]]*\])(?:\{[^{}]*\})?")
-_md_strong = [re.compile(p, re.S) for p in (r"(?<![\\*])\*\*\*(?=\S)(.+?)(?<=\S)\*\*\*", r"\*\*(?=\S)(.+?)(?<=\S)\*\*(?!\*)", r"(?<!\w)__(?=\S)(.+?)(?<=\S)__(?!\w)", r"\*(?=[^\s*])(.+?)(?<=[^\s*])\*", r"(?<!\w)_(?=[^\s_])(.+?)(?<=[^\s_])_(?!\w)", r"~~(?=\S)(.+?)(?<=\S)~~")]
+_md_strong = [
+    (signs, re.compile(pattern, re.S))
+    for signs, pattern in (
+        ("***", r"(?<![\\*])\*\*\*(?=\S)(.+?)(?<=\S)\*\*\*"),
+        ("**", r"\*\*(?=\S)(.+?)(?<=\S)\*\*(?!\*)"),
+        ("__", r"(?<!\w)__(?=\S)(.+?)(?<=\S)__(?!\w)"),
+        ("*", r"\*(?=[^\s*])(.+?)(?<=[^\s*])\*"),
+        ("_", r"(?<!\w)_(?=[^\s_])(.+?)(?<=[^\s_])_(?!\w)"),
+        ("~~", r"~~(?=\S)(.+?)(?<=\S)~~"),
+    )
+]
+
+
+_md_any = re.compile(r"[\\`<$\[*_~!&{]")
+_md_foot = re.compile(r"\[\^[^\]\s]+\]")
+_md_sums = re.compile(r"\d[\d.,]*\s+[^\W\d_]{2,}")
+_md_span = re.compile(r"\{[.#:]|\{[\w-]+=")
 
 
 def _markdown_inline(node: Node, text: str, references: set[str]) -> None:
+    if not _md_any.search(text):
+        node.text = squeeze(text)
+        return
     kept = Kept()
 
     def literal(m: re.Match) -> str:
@@ -408,7 +465,7 @@ def _markdown_inline(node: Node, text: str, references: set[str]) -> None:
         if m[4] is not None:
             return kept.put("formula", squeeze(m[4]))
         if m[5] is not None:
-            if re.match(r"\d[\d.,]*\s+[^\W\d_]{2,}", m[5]) and "\\" not in m[5]:  # two sums of money
+            if _md_sums.match(m[5]) and "\\" not in m[5]:  # two sums of money
                 return kept.put("sign", "$") + m[5] + kept.put("sign", "$")
             return kept.put("formula", squeeze(m[5]))
         if m[6]:
@@ -418,23 +475,24 @@ def _markdown_inline(node: Node, text: str, references: set[str]) -> None:
         return "" if m[0].startswith("<!--") else m[0]
 
     text = _md_literal.sub(literal, text)
-    text = re.sub(r"\[\^[^\]\s]+\]", "", text)
-    text = _md_image.sub("", text)
-    for _ in range(4):
+    if "[" in text:
+        text = _md_foot.sub("", text)
+        text = _md_image.sub("", text)
 
         def link(m: re.Match) -> str:
             if m[2][0] == "[" and (m[2][1:-1] or m[1]).lower() not in references:
                 return m[0]
-            if m[2][0] == "{" and not re.match(r"\{[.#:]|\{[\w-]+=", m[2]):
+            if m[2][0] == "{" and not _md_span.match(m[2]):
                 return m[0]
             kept.links += len(squeeze(m[1])) if m[2][0] != "{" else 0
             return m[1]
 
-        text, n = _md_link.subn(link, text)
-        if not n:
-            break
-    for pattern in _md_strong:
-        text = pattern.sub(r"\1", text)
+        before = None
+        while text != before:  # links within links, inner ones first
+            before, text = text, _md_link.sub(link, text)
+    for signs, pattern in _md_strong:
+        if signs in text:
+            text = pattern.sub(r"\1", text)
     node.text, node.linked = squeeze(kept.restore(html.unescape(text))), kept.links
     _formulas(node, text, kept)
 
@@ -444,6 +502,52 @@ def _markdown_inline(node: Node, text: str, references: set[str]) -> None:
 _wiki_aside = re.compile(r"<!--.*?(?:-->|\Z)|<(nowiki|pre|syntaxhighlight|source|math|chem|ref|gallery|score|style|script)\b([^<>]*?)(?:/>|>(.*?)</\1\s*>)", re.S | re.I)
 
 
+_braces = re.compile(r"\{\{|\}\}")
+_named = re.compile(r"\s*\w+\s*=")
+_table_opens, _table_ends = re.compile(r"[ :]*\{\|"), re.compile(r"[ ]*\|\}")
+
+
+def _template(inner: str) -> str:
+    """What a template prints: its values if it is a quotation, else nothing."""
+    name, *parts = inner.split("|")
+    quotes = name.strip().lower() in ("quote", "blockquote", "cquote", "citation", "lang")
+    return "\n\n" + "\n".join(p.split("=", 1)[-1] if _named.match(p) else p for p in parts) + "\n\n" if quotes else ""
+
+
+def _templates(text: str) -> str:
+    """The text with its templates, inner ones first, however deep, in one pass; braces without a partner stay."""
+    stack: list[list[str]] = [[]]
+    at = 0
+    for m in _braces.finditer(text):
+        stack[-1].append(text[at : m.start()])
+        at = m.end()
+        if m[0] == "{{":
+            stack.append([])
+        elif len(stack) > 1:
+            inner = "".join(stack.pop())
+            stack[-1].append(_template(inner))
+        else:
+            stack[-1].append("}}")
+    stack[-1].append(text[at:])
+    return "{{".join("".join(part) for part in stack)
+
+
+def _without_tables(text: str) -> str:
+    """The text without tables, nested ones included; one that isn't closed stays."""
+    if "{|" not in text:
+        return text
+    lines, opened, gone = text.split("\n"), [], []
+    for i, line in enumerate(lines):
+        if _table_opens.match(line):
+            opened.append(i)
+        elif opened and (m := _table_ends.match(line)):
+            gone.append((opened.pop(), i, m.end()))
+    for first, last, end in sorted(gone, reverse=True):
+        if last < len(lines):
+            lines[first : last + 1] = [lines[last][end:]]
+    return "\n".join(lines)
+
+
 def read_wiki(text: str, root: Node) -> None:
     kept = Kept()
 
@@ -466,20 +570,7 @@ def read_wiki(text: str, root: Node) -> None:
     for kind, tex in kept.items:
         if kind == "formula":
             root.add("note").add("formula", tex)  # also those in notes, templates and tables, which print elsewhere
-    for _ in range(12):  # templates, inner ones first
-
-        def template(m: re.Match) -> str:
-            name, *parts = m[1].split("|")
-            quotes = name.strip().lower() in ("quote", "blockquote", "cquote", "citation", "lang")
-            return "\n\n" + "\n".join(p.split("=", 1)[-1] if re.match(r"\s*\w+\s*=", p) else p for p in parts) + "\n\n" if quotes else ""
-
-        text, n = re.subn(r"\{\{((?:(?!\{\{|\}\}).)*)\}\}", template, text, flags=re.S)
-        if not n:
-            break
-    for _ in range(6):
-        text, n = re.subn(r"^[ :]*\{\|(?:(?!^[ :]*\{\|).)*?^[ ]*\|\}", "", text, flags=re.S | re.M)
-        if not n:
-            break
+    text = _without_tables(_templates(text) if "{{" in text else text)
     para: list[str] = []
     levels: list[Node] = []
 
@@ -551,10 +642,13 @@ _tex_math = re.compile(r"\\begin\{(" + "|".join(map(re.escape, TEX_MATH)) + r")\
 _tex_event = re.compile(r"\n[ \t]*\n\s*|\\begin\{([A-Za-z]+\*?)\}((?:\[[^\]]*\]|\{[^{}]*\})*)|\\end\{([A-Za-z]+\*?)\}|\\item\b\s*(\[[^\]]*\])?|\\(" + "|".join(sorted(TEX_SECTIONS, key=len, reverse=True)) + r")\*?\s*(?:\[[^\]]*\])?\s*(?=\{)|\\(caption)\s*(?:\[[^\]]*\])?\s*(?=\{)|\ue000\d+\ue001|\\(?:par|newpage|clearpage|hrule|maketitle|tableofcontents|medskip|bigskip|smallskip)\b")
 
 
+_tex_brace = re.compile(r"\\.|[{}]", re.S)
+
+
 def _braced(text: str, at: int) -> int:
     """Where the group that opens at `at` ends, behind its brace."""
     depth = 0
-    for m in re.compile(r"\\.|[{}]", re.S).finditer(text, at):
+    for m in _tex_brace.finditer(text, at):
         depth += {"{": 1, "}": -1}.get(m[0], 0)
         if depth == 0:
             return m.end()
@@ -644,10 +738,15 @@ def read_latex(text: str, root: Node) -> None:
 _tex_command = re.compile(r"\\([A-Za-z]+)\*?|\\(.)|[{}~]|``|''|---?|\[[^\[\]]*\](?=\{)", re.S)
 
 
+_tex_behind = re.compile(r"[ \t]*(?:\[[^\]]*\])?(?=\{)|[ \t]+")
+_tex_gap = re.compile(r"\{\}|[ \t]*\n?[ \t]*")
+_tex_letter = re.compile(r"\s*(?:\{\s*(\\?[A-Za-z])\s*\}|(\\[ij])(?![A-Za-z])\s?|([A-Za-z]))")
+
+
 def _latex_inline(node: Node, text: str, kept: Kept) -> None:
     links = 0
 
-    def plain(text: str, depth: int = 0) -> str:
+    def plain(text: str) -> str:
         nonlocal links
         out, at = [], 0
         while m := _tex_command.search(text, at):
@@ -658,7 +757,7 @@ def _latex_inline(node: Node, text: str, kept: Kept) -> None:
                 out.append({"{": "", "}": "", "~": " ", "``": "“", "''": "”", "--": "–", "---": "—"}.get(m[0], m[0]))
                 continue
             accent = name if name in TEX_ACCENTS else m[2] if m[2] in TEX_ACCENTS else None
-            if accent and (a := re.compile(r"\s*(?:\{\s*(\\?[A-Za-z])\s*\}|(\\[ij])(?![A-Za-z])\s?|([A-Za-z]))").match(text, at)) and (m[2] or text[at : at + 1] in "{ "):
+            if accent and (a := _tex_letter.match(text, at)) and (m[2] or text[at : at + 1] in "{ "):
                 base = (a[1] or a[2] or a[3]).lstrip("\\")
                 out.append(unicodedata.normalize("NFC", base + TEX_ACCENTS[accent]))
                 at = a.end()
@@ -667,17 +766,13 @@ def _latex_inline(node: Node, text: str, kept: Kept) -> None:
                     at = _braced(text, at) if text[at] == "{" else max(at + 1, text.find("]", at) + 1)
             elif name == "href" and text[at : at + 1] == "{":
                 at = _braced(text, at)
-                if text[at : at + 1] == "{" and depth < 50:
-                    end = _braced(text, at)
-                    shown = plain(text[at + 1 : end - 1], depth + 1)
-                    links += len(shown)
-                    out.append(shown)
-                    at = end
+                if text[at : at + 1] == "{":  # what the link shows is read on
+                    links += _braced(text, at) - at - 2
             elif name in TEX_SIGNS:
                 out.append(TEX_SIGNS[name])
-                at += len(re.compile(r"\{\}|[ \t]*\n?[ \t]*").match(text, at)[0])
+                at = _tex_gap.match(text, at).end()
             elif name is not None:  # the command goes, its argument stays
-                at += len(re.compile(r"[ \t]*(?:\[[^\]]*\])?(?=\{)|[ \t]+").match(text, at)[0]) if re.compile(r"[ \t]*(?:\[[^\]]*\])?(?=\{)|[ \t]+").match(text, at) else 0
+                at = a.end() if (a := _tex_behind.match(text, at)) else at
             elif m[2] in "\\\n ":
                 out.append(" ")
             elif m[2] in ",;:!/-@":
@@ -693,24 +788,30 @@ def _latex_inline(node: Node, text: str, kept: Kept) -> None:
 
 # --- dialects, scoring, output ----------------------------------------------------------------------------------------
 
+#: Every alternative begins with a sign of its own (a line with the line end before it), so that the search jumps from one to the next.
 _signs = {
     "html": re.compile(r"<(?:!DOCTYPE|html|body|p|div|ul|ol|li|blockquote|table)\b[^<>]*>|</(?:p|div|ul|ol|li|blockquote|h[1-6]|em|strong|span)>", re.I),
     "latex": re.compile(r"\\(?:documentclass|begin\{|end\{|(?:sub)*section\*?\{|chapter\*?\{|paragraph\{|emph\{|textbf\{|underline\{|texttt\{|href\{|item\b|footnote\{|usepackage)"),
-    "wiki": re.compile(r"^={1,6}[^=\n].*=\s*$|'{2,3}(?=\S)|\[\[|\{\{|^\{\||<(?:math|nowiki|syntaxhighlight|ref)\b|\[https?://\S+ |^[*#]+[^\s*#]", re.M),
-    "markdown": re.compile(r"^#{1,6} |\]\(|\]\{\.|^(?:```|~~~)|^> |\*\*\S|^---$|^\|[-: |]+\|$|^\[\^|^(?:=+|-{3,})$|^ *(?:[-+]|\d+[.)]) +\S|(?<!\w)[_*](?=\w)[^_*\n]+(?<=\w)[_*](?!\w)|^:::", re.M),
+    "wiki": re.compile(r"\n={1,6}[^=\n][^\n]*=[ \t]*(?=\n)|'{2,3}(?=\S)|\[\[|\{\{|\n\{\||<(?:math|nowiki|syntaxhighlight|ref)\b|\[https?://\S+ |\n[*#]+[^\s*#]"),
+    "markdown": re.compile(r"\n#{1,6} |\]\(|\]\{\.|\n(?:```|~~~)|\n> |\*\*\S|\n\|[-: |]+\|(?=\n)|\n\[\^|\n(?:=+|-{3,})(?=\n)|\n *(?:[-+]|\d+[.)]) +\S|[_*](?<!\w[_*])(?=\w)[^_*\n]+(?<=\w)[_*](?!\w)|\n:::"),
 }
-_strong_sign = {"html": re.compile(r"<!DOCTYPE html|<html\b", re.I), "latex": re.compile(r"\\documentclass|\\begin\{document\}")}
+_strong_sign = {"html": re.compile(r"\n[ \t]*<(?:!DOCTYPE\s+html|html\b)", re.I), "latex": re.compile(r"\n[ \t]*\\(?:documentclass|begin\{document\})")}
+_shown_code = re.compile(r"\n(```|~~~).*?\n\1|<pre\b.*?</pre>|<syntaxhighlight\b.*?</syntaxhighlight>|\\begin\{(verbatim|lstlisting)\}.*?\\end\{\2\}", re.S)
+_no_html = re.compile(r"\n(?:#{1,6} |> |```|~~~|- |\+ |\d+[.)] )|\]\(http|\]\{\.|\*\*\w")
 READERS = {"html": read_html, "latex": read_latex, "wiki": read_wiki, "markdown": read_markdown}
 
 
 def dialect(text: str) -> str:
-    """The markup language whose signs the text has most of; markdown, to which unmarked text is plain, without any."""
-    for name, sign in _strong_sign.items():
-        if sign.search(text[:2000]):
-            return name
-    bare = re.sub(r"(?ms)^(```|~~~).*?^\1|<pre\b.*?</pre>|<syntaxhighlight\b.*?</syntaxhighlight>|\\begin\{(verbatim|lstlisting)\}.*?\\end\{\2\}", "", text)
-    counts = {name: len(sign.findall(bare)) for name, sign in _signs.items()}
-    if counts["html"] and re.search(r"(?m)^(?:#{1,6} |> |```|~~~|- |\+ |\d+[.)] )|\]\(http|\]\{\.|\*\*\w", bare):
+    """The markup language of a text: the one whose document begins on any of its lines, else the one whose signs it has most
+    of, code blocks left out; markdown, to which unmarked text is plain, without any. The whole text is looked at."""
+    bare = _shown_code.sub("", f"\n{text}\n")
+    tagged, commands = "<" in bare, "\\" in bare
+    if tagged and _strong_sign["html"].search(bare):
+        return "html"
+    if commands and _strong_sign["latex"].search(bare):
+        return "latex"
+    counts = {name: len(sign.findall(bare)) if (name != "html" or tagged) and (name != "latex" or commands) else 0 for name, sign in _signs.items()}
+    if counts["html"] and _no_html.search(bare):
         counts["html"] = counts["html"] // 4  # Markdown may hold any HTML; HTML holds no Markdown
     best = max(counts, key=lambda k: counts[k])
     return best if counts[best] else "markdown"
@@ -725,58 +826,69 @@ def read(text: str | None) -> Node:
     return root
 
 
-def score(root: Node) -> Node:
-    """Points of paragraphs go to the containers above, whole to the nearest and by half to the next, and so on; the best
-    container by points times the part of its text outside links is returned."""
-    totals: dict[int, list[int]] = {}
-    order: list[tuple[Node, list[Node]]] = []
-    stack: list[tuple[Node, list[Node]]] = [(root, [])]
-    while stack:
-        node, above = stack.pop()
-        order.append((node, above))
-        inner = [*above, node] if node.kind in ("root", "box") else above
-        stack.extend((c, inner) for c in node.children)
-    for node, above in order:
-        points = 0.0
-        if node.text and node.kind not in ("root", "box"):
-            points = 1 + node.text.count(",") + node.text.count("，") + min(3, len(node.text) // 100)
-        share = 1.0
-        for box in reversed(above):
-            t = totals.setdefault(id(box), [0, 0])
-            t[0] += len(node.text)
-            t[1] += node.linked
-            box.score += points * share
-            share /= 2
-    best = root
-    for node, _ in order:
-        if node.kind in ("root", "box"):
-            t = totals.get(id(node), [0, 0])
-            node.score *= 1 - min(1.0, t[1] / t[0] if t[0] else 0.0)
-            node.level = int(1000 * t[1] / t[0]) if t[0] else 0  # link density, for main_content
-            if node.score > best.score:
-                best = node
-    return best
-
+def score(root: Node) -> tuple[Node, list[tuple[Node, int]]]:
+    """The best container, and all nodes from the top down with the number of the node above (-1 for the root).
 
-def main_content(root: Node) -> list[Node]:
-    """The best container's content with that of its siblings.
-
-    Siblings that are no containers (headings, lists, code, formulas, paragraphs) are kept whole. A sibling container is
-    dropped only if it is mostly links and has less than SIBLING_SHARE of the best score."""
-    best = score(root)
-    parent = next((n for n in root.walk() if any(c is best for c in n.children)), None)
-    keep = [best] if parent is None else parent.children
-    dropped = {id(n) for top in [root] for n in top.walk() if n.kind == "box" and n is not best and n.level > 1000 * LINK_LIMIT and n.score < SIBLING_SHARE * best.score}
-    top = root if parent is not None and not any(id(n) in dropped for n in keep) else None
-    nodes = [root] if top is root or parent is None else list(keep)
-    return [_without(n, dropped) for n in nodes if id(n) not in dropped]
+    A paragraph's points (one, its commas, its hundreds of signs up to three) go whole to the nearest container above, by half to
+    the next, and so on. A container's score is its points times the part of its text outside links; so is a list's, which
+    can be dropped but not chosen. Node.level of a container is its link density in thousandths."""
+    order: list[tuple[Node, int]] = [(root, -1)]
+    for i, (node, _) in enumerate(order):  # grows on the way
+        order += [(c, i) for c in node.children]
+    points, size, linked = [0.0] * len(order), [0] * len(order), [0] * len(order)
+    best = root
+    for i in range(len(order) - 1, -1, -1):
+        node, above = order[i]
+        text = node.text
+        size[i] += len(text)
+        linked[i] += node.linked
+        inner = node.kind in ("root", "box")
+        if text and not inner:
+            points[i] += 1 + text.count(",") + text.count("，") + min(3, len(text) // 100)
+        if inner or node.kind == "list":
+            density = min(1.0, linked[i] / size[i]) if size[i] else 0.0
+            node.score = points[i] * (1 - density)
+            if inner:
+                node.level = int(1000 * density)
+                if node.score >= best.score or best is root:
+                    best = node
+        if above >= 0:
+            points[above] += points[i] / 2 if inner else points[i]
+            size[above] += size[i]
+            linked[above] += linked[i]
+    return best, order
+
+
+def main_content(root: Node, scoring: bool = True) -> Node:
+    """The best container with those of its siblings, of the siblings of the containers around it, and of what is nested in it that
+    belong to the content, as a tree below the root.
+
+    Headings, code, formulas and paragraphs belong to it. A container or a list is left out if most of its text is links and its
+    score is below SIBLING_SHARE of the best: navigation, sidebars and link lists. The way from the root to the best is kept.
+    A text without links has no navigation and is kept whole."""
+    if not scoring or not any(n.linked for n in root.walk()):
+        return root
+    best, order = score(root)
+    at = next(i for i, (n, _) in enumerate(order) if n is best)
+    way = {-1}
+    while at >= 0:
+        way.add(at)
+        at = order[at][1]
+    for i in range(len(order) - 1, 0, -1):
+        node, above = order[i]
+        if node.kind != "box" and (node.kind != "list" or len(node.children) < LEAST_ITEMS) or i in way:
+            continue
+        if node.score < SIBLING_SHARE * best.score and _links(node) > LINK_LIMIT:
+            order[above][0].children = [c for c in order[above][0].children if c is not node]
+    return root
 
 
-def _without(node: Node, dropped: set[int]) -> Node:
-    if dropped:
-        for n in node.walk():
-            n.children = [c for c in n.children if id(c) not in dropped]
-    return node
+def _links(node: Node) -> float:
+    """The part of a container's or list's text that is links'."""
+    size = linked = 0
+    for n in node.walk():
+        size, linked = size + len(n.text), linked + n.linked
+    return linked / size if size else 0.0
 
 
 def item_text(node: Node) -> str:
@@ -792,21 +904,20 @@ def item_text(node: Node) -> str:
     return squeeze(" ".join(parts))
 
 
-def elements(text: str | None) -> list[tuple[str, str]]:
-    """Distinct (kind, content) of a text: heading, list_item, code, formula; contents with single spaces, none empty."""
+def elements(text: str | None, scoring: bool = True) -> list[tuple[str, str]]:
+    """Distinct (kind, content) of a text's main content: heading, list_item, code, formula; contents with single spaces, none empty."""
     out: dict[tuple[str, str], None] = {}
-    for top in main_content(read(text)):
-        for n in top.walk():
-            if n.kind == "heading":
-                found = ("heading", item_text(n))
-            elif n.kind == "item":
-                found = ("list_item", item_text(n))
-            elif n.kind in ("code", "formula"):
-                found = (n.kind, squeeze(n.text))
-            else:
-                continue
-            if found[1]:
-                out[found] = None
+    for n in main_content(read(text), scoring).walk():
+        if n.kind == "heading":
+            found = ("heading", item_text(n))
+        elif n.kind == "item":
+            found = ("list_item", item_text(n))
+        elif n.kind in ("code", "formula"):
+            found = (n.kind, squeeze(n.text))
+        else:
+            continue
+        if found[1]:
+            out[found] = None
     return list(out)
 
 
@@ -815,7 +926,7 @@ def clean_text(text: str | None) -> str | None:
     if text is None:
         return None
     out: list[str] = []
-    stack = [(n, 0) for n in reversed(main_content(read(text)))]
+    stack = [(main_content(read(text)), 0)]
     while stack:
         n, deep = stack.pop()
         if n.kind == "heading":

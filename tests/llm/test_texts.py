@@ -101,10 +101,40 @@ def test_unmarked_and_odd_texts():
     assert markup.clean_text(None) is None and markup.clean_text("# A\n\n- b\n\n$$c$$") == "# A\n\n- b\n\n$$ c $$"
 
 
-def test_navigation_falls_away():
-    links = "".join(f"<li><a href=x>Page {i}</a></li>" for i in range(20))
-    text = f"<html><body><div><ul>{links}</ul></div><div><h1>Title</h1><p>{'Long, real, text with commas. ' * 20}</p><ul><li>kept</li></ul></div></body></html>"
-    assert markup.elements(text) == [("heading", "Title"), ("list_item", "kept")]
+def test_scoring_decides_what_is_content():
+    """Navigation, a sidebar and a link list, planted around and inside the content, go by score; with scoring off they stay."""
+    links = lambda n: "".join(f"<li><a href=x>Page {i}</a></li>" for i in range(n))
+    body = f"<div><h1>Title</h1><p>{'Long, real, text with commas. ' * 20}</p><ul><li>kept</li><li>see <a href=y>this</a> too</li></ul>"
+    want = [("heading", "Title"), ("list_item", "kept"), ("list_item", "see this too")]
+    side = f"<aside><h3><a href=x>More</a></h3><ul>{links(4)}</ul></aside>"
+    planted = {
+        "navigation": f"<html><body><nav><ul>{links(20)}</ul></nav>{body}</div></body></html>",
+        "sidebar": f"<html><body><div>{body}</div></div>{side}</body></html>",
+        "sidebar inside": f"<html><body>{body}{side}</div></body></html>",
+        "link list": f"<html><body>{body}<ul>{links(5)}</ul></div></body></html>",
+        "link list of a page": f"# Title\n\n{'Long, real, text with commas. ' * 20}\n\n- kept\n- see [this](y) too\n\nOn\n\n- [Page 1](x)\n- [Page 2](x)\n- [Page 3](x)\n",
+    }
+    for name, text in planted.items():
+        assert sorted(markup.elements(text)) == sorted(want), name
+        assert len(markup.elements(text, scoring=False)) > len(want), name
+    # siblings with text of their own, a list of two links, and a page that is nothing but links are content
+    assert len(markup.elements(f"<html><body>{body}</div><div><h2>Second</h2><p>Short.</p></div><ul>{links(2)}</ul></body></html>")) == len(want) + 3
+    assert len(markup.elements(f"<ul>{links(6)}</ul>")) == 6
+
+
+def test_depth_and_length_are_no_limit():
+    deep = "".join("  " * i + f"- item {i}\n" for i in range(90))
+    assert [x for k, x in markup.elements(deep) if k == "list_item"] == [f"item {i}" for i in range(90)]
+    assert markup.elements("- " * 50_000 + "x") == [("list_item", "x")] and markup.elements("> " * 50_000 + "# x") == [("heading", "x")]
+    assert markup.elements("\\begin{document}\n\\section{" + "\\href{u}{" * 300 + "x" + "}" * 300 + "}\n\\end{document}") == [("heading", "x")]
+    assert markup.elements("== A ==\n" + "{{x|" * 3000 + "}}" * 3000 + "\n* b\n" + "{|\n" * 50 + "| * no\n" + "|}\n" * 50) == [("heading", "A"), ("list_item", "b")]
+
+
+def test_the_whole_text_tells_its_dialect():
+    comment = "<!-- " + "licence " * 1000 + "-->\n"
+    assert markup.dialect(comment + "<!DOCTYPE html><html><body><h1>x</h1></body></html>") == "html"
+    assert markup.dialect("% " + "licence " * 1000 + "\n\\documentclass{book}\n\\begin{document}x\\end{document}") == "latex"
+    assert markup.dialect("# Head\n\n```\n\\documentclass{book}\n<html>\n```\n\n- item\n") == "markdown"
 
 
 def test_markup_frames(spark):
