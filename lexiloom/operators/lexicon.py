@@ -58,9 +58,14 @@ def lexicon(docs: DataFrame, key: str = "pair_id", least: float = LEAST_DICE) ->
     Kept where the unrounded Dice coefficient is at least `least`; the score has four decimals. Texts are stemmed once.
     Each stem carries its frequency into the pairs, so pairs that can't reach `least` even if the rarer stem never stood
     without the other are gone before they are counted."""
-    held = cut(memberships(stems(docs, key), key))
+    return lexicon_of(cut(memberships(stems(docs, key), key)), key, least)
+
+
+def lexicon_of(held: DataFrame, key: str = "pair_id", least: float = LEAST_DICE) -> DataFrame:
+    """The same from memberships (key, lang, stem), each once; held is read several times."""
     n = cut(frequencies(held))
-    sized = cut(join_unique(held, n, ["lang", "stem"], "n", held.count()))
+    size = n.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("rows")).first()
+    sized = cut(join_unique(held, n, ["lang", "stem"], "n", size.total or 0, size.rows))
     side = lambda x: sized.where(F.col("lang") == x).select(key, F.col("stem").alias(x), F.col("n").alias(f"n_{x}"))
     able = 2.0 * F.least("n_en", "n_fr") / (F.col("n_en") + F.col("n_fr")) >= least
     counted = join_many(side("en"), side("fr"), key, "en").where(able).groupBy("en", "fr", "n_en", "n_fr").agg(F.count(F.lit(1)).alias("co"))
