@@ -21,8 +21,9 @@ def p1_aligned(spark, folder):
 
 
 def p2_found(spark, folder):
-    """English and French stems that occur together in at least 5 records and 6 times as often as by chance; the tail has no say."""
-    pairs = cooccurrence.cooccurring(spread(table(spark, folder, "pair_stems")), min_count=5, min_lift=6, discoveries=False)
+    """English and French stems that occur together in at least 5 records and 6 times as often as by chance: the operator's pairs with
+    their surprise under false-discovery control, of which the exact definition then keeps its own; surprise drops none of those."""
+    pairs = cooccurrence.cooccurring(spread(table(spark, folder, "pair_stems")), min_count=5, min_lift=6)
     exact = (F.col("n_ab") >= 5) & (F.col("n_ab") * F.col("n_records") >= 6 * F.col("n_a") * F.col("n_b"))
     return pairs.where(exact).select(F.concat(F.lit("en:"), "left").alias("item_a"), F.concat(F.lit("fr:"), "right").alias("item_b"))
 
@@ -32,6 +33,11 @@ def p2_pairs(spark, folder):
     return cooccurrence.cooccurring(spread(table(spark, folder, "pair_stems")))
 
 
+def p2_counts(spark, folder):
+    """Exact counts and lift of all pairs of an English and a French stem that occur together."""
+    return p2_pairs(spark, folder).select("left", "right", "n_ab", "n_a", "n_b", "n_records", "lift")
+
+
 def p2_lexicon(spark, folder):
     """Right values for the stored lexicon: counts and Dice score of every pair from 0.1 on, in both directions."""
     return cooccurrence.translations(spread(table(spark, folder, "pair_stems")))
@@ -92,7 +98,7 @@ def p8_pieces(spark, folder):
     return splitting.split_texts(spread(table(spark, folder, "documents")), table(spark, folder, "split_limits"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_aligned, p2_found, p2_pairs, p2_lexicon, p3_found, p3_records, p4_found, p4_clean, p5_found, p5_unified, p6_ids, p6_round_trip, p7_mix, p7_report, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_aligned, p2_found, p2_pairs, p2_counts, p2_lexicon, p3_found, p3_records, p4_found, p4_clean, p5_found, p5_unified, p6_ids, p6_round_trip, p7_mix, p7_report, p8_pieces)}
 
 _FOLD = r"regexp_replace(lower({0}), '[\s\p{{Z}}\p{{P}}]', '', 'g')"
 _RECORD = f"""(with folded as (select distinct row_id, coalesce('t' || {_FOLD.format('en')}, '') as a, coalesce('t' || {_FOLD.format('fr')}, '') as b from aligned_book where row_id is not null)
@@ -122,6 +128,7 @@ def _oracles() -> dict[str, str]:
     return {
         "p5_found": f"with s as (select distinct id, text, {_looks()} as look from segments where id is not null and text is not null) select distinct a.id as segment_a, b.id as segment_b from s a join s b on a.look = b.look and a.id < b.id and a.text <> b.text",
         "p2_found": f"select 'en:' || en as item_a, 'fr:' || fr as item_b from {_STEMS} where co >= 5 and co * total >= 6 * n_en * n_fr",
+        "p2_counts": f"select en as \"left\", fr as \"right\", co as n_ab, n_en as n_a, n_fr as n_b, total as n_records, co::double * total / n_en / n_fr as lift from {_STEMS}",
         "p2_lexicon": f"with c2 as (select * from {_STEMS} where dice >= 0.1) {_ROW.format(a='en', b='fr')} union all {_ROW.format(a='fr', b='en')}",
         "p3_found": f"select first_id, row_id as copy_id from {_RECORD} where row_id <> first_id",
         "p3_records": f"select r.first_id, b.en, b.fr, count(*) as n_copies from {_RECORD} r join (select distinct row_id, en, fr from aligned_book) b on b.row_id = r.first_id group by all",

@@ -2,8 +2,8 @@
 
 The null is the bipartite configuration model: item a is in record r with probability x_a y_r / (1 + x_a y_r), fitted so that
 every item's frequency and every record's size are met on average. Two items then meet in a Poisson-binomial number of
-records; its upper tail at the count observed, by saddle point, is the surprise, and Benjamini-Hochberg over all pairs
-that occur controls the false discovery rate. Only sizes and frequencies enter the fit, so the driver holds histograms of
+records; its upper tail at the count observed, by saddle point, is the surprise, and Benjamini-Hochberg over all pairs of
+items controls the false discovery rate. Only sizes and frequencies enter the fit, so the driver holds histograms of
 bounded length, never items or records.
 """
 from __future__ import annotations
@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.operators.lexicon import lexicon_of
+from lexiloom.plans.skew import ROWS_PER_REPLICA, join_many, join_unique
 from lexiloom.plans.staging import cut
 
 #: Record sizes above this are read in classes a sixteenth of a doubling wide, so there are at most some hundreds.
@@ -99,18 +101,21 @@ def tail(k: np.ndarray, chance: np.ndarray, records: np.ndarray) -> tuple[np.nda
     return mean, np.clip(out, 0.0, 1.0)
 
 
-def cooccurring(df: DataFrame, id_col: str = "pair_id", left_col: str = "stems_en", right_col: str = "stems_fr", min_count: int = 1, min_lift: float = 0.0, discoveries: bool = True) -> DataFrame:
-    """(left, right, n_ab, n_a, n_b, n_records, lift, expected, p_value[, q_value]) of all pairs that occur together.
+def cooccurring(df: DataFrame, id_col: str = "pair_id", left_col: str = "stems_en", right_col: str = "stems_fr", min_count: int = 1, min_lift: float = 0.0, replica_rows: int = ROWS_PER_REPLICA) -> DataFrame:
+    """(left, right, n_ab, n_a, n_b, n_records, lift, expected, p_value, q_value) of all pairs that occur together.
 
     A record is a distinct id; its items are those of any row with that id, each once; null ids, null arrays and null
     items hold nothing, but a record with empty arrays counts in n_records. lift is n_ab * n_records / (n_a * n_b).
-    expected and p_value come from the fitted null, q_value from false-discovery control over the pairs returned.
-    min_count and min_lift leave out pairs below them before any pair is formed where the frequencies alone rule them out,
-    without loss. Empty tables give an empty result; repeated rows and other columns don't matter."""
+    expected and p_value come from the fitted null, q_value from false-discovery control in which every left item with every right
+    item is a test, whether they meet or not, so that leaving pairs out doesn't flatter the rest. Pairs with the same
+    (n_a, n_b, n_ab) are judged once. min_count and min_lift leave out pairs below them, where the frequencies alone rule them out
+    before any pair is formed, without loss. A record with a large part of all items is dealt out over many tasks. Empty tables give an empty result; repeated rows and other columns don't matter."""
     spark = df.sparkSession
     held = cut(memberships(df, id_col, left_col, right_col))
     n_records = df.where(F.col(id_col).isNotNull()).select(id_col).distinct().count()
     frequency = cut(held.groupBy("side", "stem").agg(F.count(F.lit(1)).alias("n")))
+    figures = {r.side: r for r in frequency.groupBy("side").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("items")).collect()}
+    total, items = sum(r.total for r in figures.values()), [figures[k].items if k in figures else 0 for k in (0, 1)]
     sizes = held.groupBy("record").agg(F.sum(F.expr("cast(side = 0 as int)")).alias("a"), F.sum(F.expr("cast(side = 1 as int)")).alias("b"))
     shape = sizes.groupBy(_size_class(F.col("a")).alias("a"), _size_class(F.col("b")).alias("b")).agg(F.count(F.lit(1)).alias("m")).collect()
     step = F.floor(F.log2("n") * FREQUENCY_STEPS)
@@ -131,17 +136,14 @@ def cooccurring(df: DataFrame, id_col: str = "pair_id", left_col: str = "stems_e
     usable = frequency.where(F.col("n") >= min_count)
     if min_lift > 0:
         usable = usable.where(F.col("n") * float(min_lift) <= n_records)
-    # A pair within a record is formed once per record, and counted before anything is shuffled
-    narrow = held.join(usable.select("side", "stem"), ["side", "stem"], "left_semi") if min_count > 1 or min_lift > 0 else held
-    left = narrow.where("side = 0").select("record", F.col("stem").alias("left"))
-    right = narrow.where("side = 1").select("record", F.col("stem").alias("right"))
-    counted = left.join(right, "record").groupBy("left", "right").agg(F.count(F.lit(1)).alias("n_ab")).where(F.col("n_ab") >= min_count)
-    pairs = (
-        counted.join(frequency.where("side = 0").select(F.col("stem").alias("left"), F.col("n").alias("n_a")), "left")
-        .join(frequency.where("side = 1").select(F.col("stem").alias("right"), F.col("n").alias("n_b")), "right")
-        .select("left", "right", "n_ab", "n_a", "n_b", F.lit(n_records).cast("bigint").alias("n_records"), (F.col("n_ab").cast("double") * n_records / F.col("n_a") / F.col("n_b")).alias("lift"))
-        .where(F.col("n_ab") * float(n_records) >= F.lit(float(min_lift)) * F.col("n_a") * F.col("n_b"))
-    )
+    # each item carries its frequency into the pairs, which are counted where they are formed, before anything is shuffled
+    sized = cut(join_unique(held, usable, ["side", "stem"], "n", total, sum(items)))
+    left = sized.where("side = 0").select("record", F.col("stem").alias("left"), F.col("n").alias("n_a"))
+    right = sized.where("side = 1").select("record", F.col("stem").alias("right"), F.col("n").alias("n_b"))
+    largest = float(classes[:, 0].max(initial=0)) * 2 ** (1 / 16)
+    met = join_many(left, right, "record", "left", replica_rows, largest)
+    enough = (F.col("n_ab") >= min_count) & (F.col("n_ab") * float(n_records) >= F.lit(float(min_lift)) * F.col("n_a") * F.col("n_b"))
+    counted = cut(met.groupBy("left", "right", "n_a", "n_b").agg(F.count(F.lit(1)).alias("n_ab")).where(enough))
     rows = max(1, 2_000_000 // max(1, len(records)))
 
     def surprise(frames):
@@ -157,38 +159,25 @@ def cooccurring(df: DataFrame, id_col: str = "pair_id", left_col: str = "stems_e
                 mean[i : i + rows], p[i : i + rows] = tail(frame.n_ab.to_numpy()[i : i + rows].astype(float), chance, records)
             yield frame.assign(expected=mean, p_value=p)
 
-    schema = pairs.schema.simpleString()[7:-1].replace(":", " ") + ", expected double, p_value double"
-    judged = pairs.mapInPandas(surprise, schema)
-    if not discoveries:
-        return judged
-    judged = cut(judged)
+    shapes = counted.groupBy("n_a", "n_b", "n_ab").agg(F.count(F.lit(1)).alias("pairs_"))
+    judged = cut(shapes.mapInPandas(surprise, "n_a bigint, n_b bigint, n_ab bigint, pairs_ bigint, expected double, p_value double"))
     place = F.floor(-F.log10(F.greatest("p_value", F.lit(1e-300))) / P_STEP).cast("int")
-    found = np.array([(r.place, r.m) for r in judged.groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("m")).collect()], float).reshape(-1, 2)
+    found = np.array([(r.place, r.m, r.shapes) for r in judged.groupBy(place.alias("place")).agg(F.sum("pairs_").alias("m"), F.count(F.lit(1)).alias("shapes")).collect()], float).reshape(-1, 3)
     found = found[np.argsort(-found[:, 0])]
-    tests = max(1.0, found[:, 1].sum())
+    tests = max(1.0, float(items[0]) * items[1])
     q = np.minimum(1.0, 10.0 ** (-found[:, 0] * P_STEP) * tests / np.cumsum(found[:, 1])) if len(found) else np.zeros(0)
     q = np.minimum.accumulate(q[::-1])[::-1]
     levels = spark.createDataFrame(pd.DataFrame({"place": found[:, 0].astype(int), "q_value": q}), "place int, q_value double")
-    return judged.withColumn("place", place).join(F.broadcast(levels), "place").drop("place")
+    shaped = judged.withColumn("place", place).join(F.broadcast(levels), "place").drop("place")
+    return join_unique(counted, shaped, ["n_a", "n_b", "n_ab"], "pairs_", int(found[:, 1].sum()), int(found[:, 2].sum())).select(
+        "left", "right", "n_ab", "n_a", "n_b", F.lit(n_records).cast("bigint").alias("n_records"), (F.col("n_ab").cast("double") * n_records / F.col("n_a") / F.col("n_b")).alias("lift"), "expected", "p_value", "q_value"
+    )
 
 
 def translations(df: DataFrame, id_col: str = "pair_id", least: float = 0.1) -> DataFrame:
     """The lexicon of pairs with a Dice coefficient of at least `least`, in both directions:
-    (source_stem, source_lang, target_stem, target_lang, score, co_occurrence_count, source_count, target_count)."""
-    held = cut(memberships(df, id_col, "stems_en", "stems_fr"))
-    frequency = held.groupBy("side", "stem").agg(F.count(F.lit(1)).alias("n"))
-    en = held.where("side = 0").select("record", F.col("stem").alias("en"))
-    fr = held.where("side = 1").select("record", F.col("stem").alias("fr"))
-    dice = 2.0 * F.col("co") / (F.col("n_en") + F.col("n_fr"))
-    kept = cut(
-        en.join(fr, "record")
-        .groupBy("en", "fr")
-        .agg(F.count(F.lit(1)).alias("co"))
-        .join(frequency.where("side = 0").select(F.col("stem").alias("en"), F.col("n").alias("n_en")), "en")
-        .join(frequency.where("side = 1").select(F.col("stem").alias("fr"), F.col("n").alias("n_fr")), "fr")
-        .where(dice >= least)
-        .withColumn("dice", dice)
-        .withColumn("score", F.expr("cast(format_number(dice, '0.0000') as double)"))
-    )
-    one = lambda a, b: kept.select(F.col(a).alias("source_stem"), F.lit(a).alias("source_lang"), F.col(b).alias("target_stem"), F.lit(b).alias("target_lang"), "score", F.col("co").alias("co_occurrence_count"), F.col(f"n_{a}").alias("source_count"), F.col(f"n_{b}").alias("target_count"))
-    return one("en", "fr").unionByName(one("fr", "en"))
+    (source_stem, source_lang, target_stem, target_lang, score, co_occurrence_count, source_count, target_count).
+
+    Memberships are those of `cooccurring`."""
+    held = memberships(df, id_col, "stems_en", "stems_fr").select("record", F.when(F.col("side") == 0, "en").otherwise("fr").alias("lang"), "stem")
+    return lexicon_of(cut(held), "record", least)

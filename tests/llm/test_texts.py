@@ -154,11 +154,19 @@ def test_counts_and_lift(spark):
     r = got["a", "x"]
     assert (r.n_ab, r.n_a, r.n_b, r.n_records) == (6, 6, 6, 62) and r.lift == pytest.approx(62 / 6)
     assert r.p_value < 1e-3 and r.q_value >= r.p_value * 0.9
-    assert {(r.left, r.right) for r in cooccurrence.cooccurring(df, min_count=5, min_lift=6, discoveries=False).collect()} == {("a", "x"), ("b", "x")}
+    assert {(r.left, r.right) for r in cooccurrence.cooccurring(df, min_count=5, min_lift=6).collect()} == {("a", "x"), ("b", "x")}
     assert cooccurrence.cooccurring(df.limit(0)).count() == 0
     assert cooccurrence.translations(df).count() == 6
 
 
+def test_one_record_with_half_of_all_items(spark):
+    rows = [(0, [f"e{i}" for i in range(400)], [f"f{i}" for i in range(400)])] + [(k, [f"e{k}"], [f"f{k}"]) for k in range(1, 400)]
+    df = spark.createDataFrame(rows, "pair_id bigint, stems_en array<string>, stems_fr array<string>")
+    plain = {(r.left, r.right): tuple(r) for r in cooccurrence.cooccurring(df).collect()}
+    split = {(r.left, r.right): tuple(r) for r in cooccurrence.cooccurring(df, replica_rows=50).collect()}
+    assert len(plain) == 400 * 400 and split == plain and plain["e7", "f7"][2] == 2
+
+
 def test_found_by_count_and_lift_alone(spark, tmp_path):
     """Few large among many small records, or many empty ones: the fitted null expects joint counts far above n_a * n_b / N."""
     from lexiloom.llm import catalog
