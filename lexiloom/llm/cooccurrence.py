@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.operators.lexicon import lexicon_of
-from lexiloom.plans.skew import ROWS_PER_REPLICA, join_many, join_unique
+from lexiloom.plans.skew import ROWS_PER_REPLICA, SMALL_ROWS, join_many, join_unique
 from lexiloom.plans.staging import cut
 
 #: Record sizes above this are read in classes a sixteenth of a doubling wide, so there are at most some hundreds.
@@ -137,7 +137,8 @@ def cooccurring(df: DataFrame, id_col: str = "pair_id", left_col: str = "stems_e
     if min_lift > 0:
         usable = usable.where(F.col("n") * float(min_lift) <= n_records)
     # each item carries its frequency into the pairs, which are counted where they are formed, before anything is shuffled
-    sized = cut(join_unique(held, usable, ["side", "stem"], "n", total, sum(items)))
+    sized = join_unique(held, usable, ["side", "stem"], "n", total, sum(items))
+    sized = sized if sum(items) <= SMALL_ROWS else cut(sized)
     left = sized.where("side = 0").select("record", F.col("stem").alias("left"), F.col("n").alias("n_a"))
     right = sized.where("side = 1").select("record", F.col("stem").alias("right"), F.col("n").alias("n_b"))
     largest = float(classes[:, 0].max(initial=0)) * 2 ** (1 / 16)

@@ -1,11 +1,10 @@
 """Encoding of whole texts by a public tokenizer, vectorised over Arrow batches.
 
-A batch's UTF-8 bytes are read as one array of code points. A table gives every code point its class; class changes,
-plus the few transitions that look one or two signs around (the blank that joins the next word, contractions), are the
-boundaries of pre-tokens, so no regular expression runs. The state of the boundary automaton at a sign is a composition
-of the transition functions before it; since every function here either resets or keeps its state, the composition
-is a running maximum over run starts (associative, hence a scan). The slices between boundaries are dictionary-encoded by
-Arrow, each distinct slice is merged once per worker, and ids are laid out by index arithmetic. Byte offsets of all
+A batch's UTF-8 bytes are read as one array of code points. A table gives every code point its class, sharpened where the next one or
+two signs matter (the blank that joins the next word, contractions). Each class is a transition function of a small
+automaton, and an associative scan over these functions gives the state at every sign, hence the boundaries of pre-tokens: no
+regular expression runs. The slices between boundaries are dictionary-encoded by Arrow, each distinct slice is merged
+once per worker, and ids are laid out by index arithmetic. Byte offsets of all
 tokens are kept, so decoding and splitting are exact.
 """
 from __future__ import annotations
@@ -82,6 +81,88 @@ def as_texts(column: pa.Array, prefix: bool) -> Texts:
     return Texts(raw, at, cp, lead, np.searchsorted(lead, at))
 
 
+#: States of the boundary automaton: nothing open, in a word, a number, other signs, white space, behind a blank that joins the next
+#: pre-token, one or two letters before the end of a contraction.
+FRESH, WORD, DIGITS, SIGNS, BLANKS, JOINING, LAST, LAST_TWO = range(8)
+#: Classes of a sign beside the code point classes: white space before more of it or a text's end, other white space before a sign, a
+#: blank before a sign, an apostrophe before a one-letter or a two-letter contraction. From 8 on: the same, first in a text.
+RUN, LONE, JOINED, SHORT, LONG = 3, 4, 5, 6, 7
+
+
+@lru_cache(1)
+def automaton() -> tuple[np.ndarray, np.ndarray]:
+    """The transition function of each class, state by state (16 x 8), and whether a pre-token begins at the sign (16 x 8)."""
+    goes, begins = np.zeros((16, 8), np.uint8), np.zeros((16, 8), bool)
+    opens = {LETTER: WORD, NUMBER: DIGITS, OTHER: SIGNS, RUN: BLANKS, LONE: FRESH, JOINED: JOINING, SHORT: LAST, LONG: LAST_TWO}
+    goes_on = {LETTER: (WORD, JOINING), NUMBER: (DIGITS, JOINING), OTHER: (SIGNS, JOINING), RUN: (BLANKS,), LONE: (), JOINED: (), SHORT: (SIGNS, JOINING), LONG: (SIGNS, JOINING)}
+    for kind, state in opens.items():
+        for before in range(8):
+            if before in (LAST, LAST_TWO):  # a contraction takes its letters whatever they are
+                goes[kind, before] = FRESH if before == LAST else LAST
+            elif before in goes_on[kind]:
+                goes[kind, before] = SIGNS if kind in (SHORT, LONG) else state
+            else:
+                goes[kind, before], begins[kind, before] = state, True
+        goes[8 + kind], begins[8 + kind] = state, True  # the first sign of a text forgets what was before
+    return goes, begins
+
+
+def scan(kinds: np.ndarray, goes: np.ndarray) -> np.ndarray:
+    """The state before every sign, from FRESH on.
+
+    The state at a sign is the composition of the transition functions before it. Composition is associative, so the signs are cut
+    into about as many rows as a row is long: all rows compose their functions side by side, the rows' functions are
+    scanned in the same way, and all rows are run side by side once more from the states they begin in."""
+    n = len(kinds)
+    width = 1 << max(3, (n.bit_length() + 1) // 2)
+    rows = -(-n // width)
+    table = np.ascontiguousarray(goes).ravel()
+    columns = np.zeros((width, rows), np.intp)
+    columns.T.flat[:n] = kinds
+    columns <<= 3
+    start = np.zeros(rows, np.intp)
+    if rows > 1:
+        whole = np.repeat(np.arange(8, dtype=np.uint8)[:, None], rows, axis=1)
+        for column in columns:
+            whole = table[column + whole]
+        if rows <= 64:
+            for k in range(1, rows):
+                start[k] = whole[start[k - 1], k - 1]
+        else:
+            start[:] = scan(np.arange(rows), whole.T)
+    before = np.empty((width, rows), np.uint8)
+    for k, column in enumerate(columns):
+        before[k] = start
+        start = table[column + start]
+    return before.T.ravel()[:n]
+
+
+@lru_cache(1)
+def by_four() -> np.ndarray:
+    """The composed function of every four classes in a row, the first as the highest hexadecimal digit (65536 x 8)."""
+    goes, _ = automaton()
+    whole = goes
+    for _ in range(3):
+        whole = goes[np.arange(16)[None, :, None], whole[:, None, :]].reshape(-1, 8)
+    return whole
+
+
+def states(kinds: np.ndarray) -> np.ndarray:
+    """The automaton's state before every sign: four signs are one symbol of the scan, and what is between follows from it."""
+    n = len(kinds)
+    four = np.zeros((-(-n // 4), 4), np.uint8)
+    four.ravel()[:n] = kinds
+    digits = [four[:, k].astype(np.intp) for k in range(4)]
+    code = (((digits[0] << 4 | digits[1]) << 4 | digits[2]) << 4) | digits[3]
+    table = automaton()[0].ravel()
+    before = np.empty((len(four), 4), np.uint8)
+    state = scan(code, by_four())
+    for k in range(4):
+        before[:, k] = state
+        state = table[(digits[k] << 3) + state]
+    return before.ravel()[:n]
+
+
 def byte_bpe_starts(t: Texts) -> np.ndarray:
     """Indexes of the code points that begin a pre-token of the byte-level tokenizers."""
     n = len(t.cp)
@@ -90,21 +171,20 @@ def byte_bpe_starts(t: Texts) -> np.ndarray:
     new[t.first[:-1]] = True
     new[n:] = True
     kind = classes()[t.cp]
-    start = new.copy()
-    start[1:n] |= kind[1:] != kind[:-1]
-    space = kind == SPACE
-    last = np.flatnonzero(space[:-1] & ~space[1:] & ~new[1:n])  # ends a run of white space that a word follows
-    start[last] = True
-    start[last[cp[last] == 32] + 1] = False
-    a = np.flatnonzero((cp[:n] == 39) & start[:n] & ~new[1 : n + 1])
+    at = np.flatnonzero(kind == SPACE)
+    more = new[at + 1] | (np.append(kind, SPACE)[at + 1] == SPACE)
+    kind = np.where(kind == SPACE, RUN, kind)
+    kind[at[~more]] = np.where(cp[at[~more]] == 32, JOINED, LONE)
+    a = np.flatnonzero(t.cp == 39)
+    a = a[~new[a + 1]]
     c1, c2 = cp[a + 1], cp[a + 2]
     letter = lambda x, y: x == ord(y)
     one = letter(c1, "s") | letter(c1, "t") | letter(c1, "m") | letter(c1, "d")
     two = ~new[a + 2] & ((letter(c1, "r") | letter(c1, "v")) & letter(c2, "e") | letter(c1, "l") & letter(c2, "l"))
-    for hit, size in ((a[one], 2), (a[two], 3)):
-        start[hit + 1] = False
-        start[hit + size] = True
-    return np.flatnonzero(start[:n])
+    kind[a[one]] = SHORT
+    kind[a[two]] = LONG
+    kind[new[:n]] += 8
+    return np.flatnonzero(automaton()[1].ravel()[(kind.astype(np.intp) << 3) + states(kind)])
 
 
 def piece_bpe_starts(t: Texts, apart: np.ndarray) -> np.ndarray:

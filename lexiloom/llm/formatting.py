@@ -1,13 +1,15 @@
 """Records that differ only in formatting or in which column holds which text.
 
 Texts are read as streams of code points through one lookup table that skips white space and punctuation and folds letter
-case; what is left feeds two polynomial hashes, so no canonical string is ever built. Rows with equal hashes are compared
-sign by sign, both sides skipping by the same table, before they count as copies.
+case. A sign that is kept adds its term to two polynomial hashes, whose power is the number of signs kept before it; a skipped one
+adds nothing, so no canonical string or array is built. Rows with equal hashes are compared by two pointers that skip by the same
+table on either side, a stretch of signs at a time for all rows at once, before they count as copies.
 """
 from __future__ import annotations
 
 import sys
 import unicodedata
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -16,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.encoding import Texts, as_texts, slices
+from lexiloom.llm.encoding import as_texts, slices
 from lexiloom.plans.skew import join_unique
 from lexiloom.plans.staging import cut
 
 #: Prime moduli and bases of the two hashes.
 HASHES = ((2147483647, 1000003), (2147483629, 69069069))
+#: Signs that all rows of a comparison together look at in one step.
+STRETCH = 1 << 20
 #: Copies of one record that are compared with one replica of its first row.
 COPIES_PER_REPLICA = 50_000
 
@@ -55,41 +59,61 @@ def _power(n: int, p: int, base: int) -> np.ndarray:
     return known[:n]
 
 
-def _kept(t: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Folded code points without skipped ones, and where each text begins among them (n + 1 entries)."""
-    folded = fold_table()[t.cp]
-    keep = np.flatnonzero(folded)
-    return folded[keep], np.searchsorted(keep, t.first)
+@dataclass
+class Stream:
+    """Texts as they are, each sign through the fold table (0: skipped), where each text begins, and how many signs are kept before each place."""
+
+    folded: np.ndarray
+    first: np.ndarray
+    kept: np.ndarray
+
+    @classmethod
+    def of(cls, column: pa.Array) -> "Stream":
+        t = as_texts(column, False)
+        folded = fold_table()[t.cp]
+        return cls(folded, t.first, np.concatenate([[0], np.cumsum(folded != 0)]))
+
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.kept[self.first])
 
 
 def fingerprints(column: pa.Array) -> np.ndarray:
     """62-bit hash of every text of an Arrow string column; -1 for null."""
-    t = as_texts(column, False)
-    signs, at = _kept(t)
-    sizes = np.diff(at)
-    place = np.arange(len(signs)) - np.repeat(at[:-1], sizes)
-    full = sizes > 0
-    out = np.zeros(len(sizes), np.int64)
+    t = Stream.of(column)
+    length = np.diff(t.first)
+    full = length > 0
+    out = np.zeros(len(length), np.int64)
+    power = t.kept[:-1] - np.repeat(t.kept[t.first[:-1]], length)
     for p, base in HASHES:
-        part = np.zeros(len(sizes), np.uint64)
-        if len(signs):
-            terms = signs.astype(np.uint64) * _power(int(sizes.max()), p, base)[place] % np.uint64(p)
-            part[full] = np.add.reduceat(terms, at[:-1][full]) % np.uint64(p)
+        part = np.zeros(len(length), np.uint64)
+        if len(t.folded):
+            terms = t.folded.astype(np.uint64) * _power(int(t.sizes().max()) + 1, p, base)[power] % np.uint64(p)
+            part[full] = np.add.reduceat(terms, t.first[:-1][full]) % np.uint64(p)
         out = (out << 31) | part.astype(np.int64)
     out[np.asarray(column.is_null())] = -1
     return out
 
 
 def same_text(left: pa.Array, right: pa.Array) -> np.ndarray:
-    """Whether the texts of two columns are equal row by row but for what the table skips and folds; null equals only null."""
-    (a, a_at), (b, b_at) = _kept(as_texts(left, False)), _kept(as_texts(right, False))
+    """Whether the texts of two columns are equal row by row but for what the table skips and folds; null equals only null.
+
+    Each row has a pointer on either side. In a step both move over their next kept signs, as many as all rows together may
+    look at, past whatever is skipped between; a row is done at its first difference or its end."""
+    a, b = Stream.of(left), Stream.of(right)
     a_null, b_null = np.asarray(left.is_null()), np.asarray(right.is_null())
-    sizes = np.diff(a_at)
-    same = (sizes == np.diff(b_at)) & ~a_null & ~b_null
-    rows = np.repeat(np.arange(len(sizes)), np.where(same, sizes, 0))
-    step = np.arange(len(rows)) - np.repeat(np.cumsum(np.where(same, sizes, 0)) - np.where(same, sizes, 0), np.where(same, sizes, 0))
-    differ = a[a_at[rows] + step] != b[b_at[rows] + step]
-    same[rows[differ]] = False
+    sizes = a.sizes()
+    same = (sizes == b.sizes()) & ~a_null & ~b_null
+    open_, at = np.flatnonzero(same & (sizes > 0)), 0
+    while len(open_):
+        step = max(64, STRETCH // len(open_))
+        n = np.minimum(sizes[open_] - at, step)
+        rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + at
+        row = np.repeat(open_, n)
+        pointers = (np.searchsorted(x.kept, x.kept[x.first[row]] + rank, "right") - 1 for x in (a, b))
+        differ = np.not_equal(*(x.folded[i] for x, i in zip((a, b), pointers)))
+        same[row[differ]] = False
+        at += step
+        open_ = open_[same[open_] & (sizes[open_] > at)]
     return same | (a_null & b_null)
 
 
@@ -110,43 +134,55 @@ def _verify(batches):
             yield pa.RecordBatch.from_arrays([first, copy, pa.array(ok)], names=["first_id", "copy_id", "same"])
 
 
-def _canonical(text: str | None) -> str | None:
-    return None if text is None else "".join(chr(c) for c in fold_table()[[ord(x) for x in text]] if c)
+def _regroup(rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows whose hash is another record's by chance, grouped among themselves: the first row left takes all that equal it."""
+    rows, out = rows.sort_values("row").reset_index(drop=True), []
+    while len(rows) > 1:
+        en, fr = (pa.array(rows[c].where(rows[c].notna(), None).tolist(), pa.string()) for c in ("en", "fr"))
+        head = lambda x: pa.array([x[0].as_py()] * len(x), pa.string())
+        same = (same_text(en, head(en)) & same_text(fr, head(fr))) | (same_text(en, head(fr)) & same_text(fr, head(en)))
+        out += [(rows["row"][0], r) for r in rows["row"][same][1:]]
+        rows = rows[~same].reset_index(drop=True)
+    return pd.DataFrame(out, columns=["first_id", "copy_id"])
 
 
-def _regroup(rows: pd.DataFrame) -> pd.DataFrame:
-    """Rows whose hash is another record's by chance: grouped among themselves by their exact folded texts."""
-    key = [tuple(sorted((_canonical(e) or "", _canonical(f) or "")) + sorted((e is None, f is None))) for e, f in zip(rows["en"], rows["fr"])]
-    first = rows.groupby(pd.Series(key, index=rows.index))["row"].transform("min")
-    return pd.DataFrame({"first_id": first, "copy_id": rows["row"]})[first.to_numpy() != rows["row"].to_numpy()]
+def _once(df: DataFrame, id_col: str, left_col: str, right_col: str, time_col: str) -> DataFrame:
+    """(row, en, fr): one row for each id, the last by time_col where there is such a column, then by its texts."""
+    texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("row"), F.col(left_col).cast("string").alias("en"), F.col(right_col).cast("string").alias("fr"), (F.col(time_col) if time_col in df.columns else F.lit(0)).alias("time"))
+    return texts.groupBy("row").agg(F.max(F.struct("time", "en", "fr")).alias("last")).select("row", "last.en", "last.fr")
 
 
-def formatting_copies(df: DataFrame, id_col: str = "row_id", left_col: str = "en", right_col: str = "fr") -> DataFrame:
+def formatting_copies(df: DataFrame, id_col: str = "row_id", left_col: str = "en", right_col: str = "fr", time_col: str = "loaded_at") -> DataFrame:
     """(first_id, copy_id): for every row that isn't the first of its record, the record's smallest id and the row's own.
 
     Two rows are one record when their two texts, in either order, are equal but for white space, punctuation (Unicode
     categories Z and P, control white space) and letter case. Null equals only null; a text without any other sign equals the empty text, not null.
-    Rows delivered twice with the same id are one row; rows with a null id are left out. An empty table gives an empty
+    Rows delivered twice with the same id are one row, the last by time_col and then by its texts; rows with a null id are left out. An empty table gives an empty
     result; other columns are not read."""
-    kind = dict(df.dtypes)[id_col]
-    texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("row"), F.col(left_col).cast("string").alias("en"), F.col(right_col).cast("string").alias("fr"))
+    return _copies(cut(_once(df, id_col, left_col, right_col, time_col)))
+
+
+def _copies(texts: DataFrame) -> DataFrame:
+    """(first_id, copy_id) of texts (row, en, fr), unique in row and read several times."""
+    kind = dict(texts.dtypes)["row"]
     keys = cut(texts.mapInArrow(_hash_rows, f"row {kind}, ka bigint, kb bigint"))
     groups = keys.groupBy("ka", "kb").agg(F.min("row").alias("first_id"), F.max("row").alias("last_id"), F.count(F.lit(1)).alias("n")).where("first_id <> last_id").drop("last_id")
-    members = cut(join_unique(keys, groups, ["ka", "kb"], "n", keys.count()).where("row <> first_id").select("row", "first_id", "n").distinct())
+    members = cut(join_unique(keys, groups, ["ka", "kb"], "n", keys.count()).where("row <> first_id").select("row", "first_id", "n"))
     # the first rows of hot records are replicated, so that no task compares all copies
     replicas = F.ceil(F.col("n") / COPIES_PER_REPLICA)
-    firsts = members.select("first_id", "n").distinct().join(texts.dropDuplicates(["row"]).select(F.col("row").alias("first_id"), F.col("en").alias("en0"), F.col("fr").alias("fr0")), "first_id").withColumn("replica", F.explode(F.sequence(F.lit(0), (replicas - 1).cast("int"))))
-    copies = members.join(texts.dropDuplicates(["row"]), "row").withColumn("replica", F.pmod(F.xxhash64("row"), replicas).cast("int"))
+    firsts = members.select("first_id", "n").distinct().join(texts.select(F.col("row").alias("first_id"), F.col("en").alias("en0"), F.col("fr").alias("fr0")), "first_id").withColumn("replica", F.explode(F.sequence(F.lit(0), (replicas - 1).cast("int"))))
+    copies = members.join(texts, "row").withColumn("replica", F.pmod(F.xxhash64("row"), replicas).cast("int"))
     judged = cut(copies.join(firsts.drop("n"), ["first_id", "replica"]).select("first_id", F.col("row").alias("copy_id"), "en", "fr", "en0", "fr0").mapInArrow(_verify, f"first_id {kind}, copy_id {kind}, same boolean"))
-    strays = judged.where("not same").join(texts.dropDuplicates(["row"]), F.col("copy_id") == F.col("row")).select("first_id", "row", "en", "fr")
+    strays = judged.where("not same").join(texts, F.col("copy_id") == F.col("row")).select("first_id", "row", "en", "fr")
     return judged.where("same").select("first_id", "copy_id").unionByName(strays.groupBy("first_id").applyInPandas(_regroup, f"first_id {kind}, copy_id {kind}"))
 
 
-def collapse_formatting(df: DataFrame, id_col: str = "row_id", left_col: str = "en", right_col: str = "fr") -> DataFrame:
+def collapse_formatting(df: DataFrame, id_col: str = "row_id", left_col: str = "en", right_col: str = "fr", time_col: str = "loaded_at") -> DataFrame:
     """One row for each record: (first_id, en, fr, n_copies), the texts as the first row has them.
 
     n_copies counts the record's ids, the first included; the rest as for formatting_copies."""
-    copies = formatting_copies(df, id_col, left_col, right_col)
-    texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("first_id"), F.col(left_col).alias("en"), F.col(right_col).alias("fr")).dropDuplicates(["first_id"])
+    texts = cut(_once(df, id_col, left_col, right_col, time_col))
+    copies = cut(_copies(texts))
     counts = copies.groupBy("first_id").agg(F.count(F.lit(1)).alias("n"))
-    return texts.join(copies.select(F.col("copy_id").alias("first_id")), "first_id", "left_anti").join(counts, "first_id", "left").select("first_id", "en", "fr", (F.coalesce("n", F.lit(0)) + 1).alias("n_copies"))
+    firsts = texts.withColumnRenamed("row", "first_id")
+    return firsts.join(copies.select(F.col("copy_id").alias("first_id")), "first_id", "left_anti").join(counts, "first_id", "left").select("first_id", "en", "fr", (F.coalesce("n", F.lit(0)) + 1).alias("n_copies"))

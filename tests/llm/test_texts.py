@@ -24,6 +24,8 @@ def test_formatting_copies(spark):
     assert sorted(tuple(r) for r in formatting.formatting_copies(df).collect()) == [(1, 2), (3, 5), (3, 9), (4, 6), (8, 10), (11, 12)]
     assert {r.first_id: r.n_copies for r in formatting.collapse_formatting(df).collect()} == {3: 3, 7: 1, 1: 2, 4: 2, 8: 2, 11: 2, 13: 1}
     assert formatting.formatting_copies(df.limit(0)).count() == 0
+    twice = spark.createDataFrame([(1, "a", "b", 1), (2, "x", "y", 1), (2, "A", "b", 2)], "row_id bigint, en string, fr string, loaded_at int")
+    assert [tuple(r) for r in formatting.formatting_copies(twice).collect()] == [(1, 2)]
 
 
 def test_formatting_hot_record(spark):
@@ -35,6 +37,11 @@ def test_formatting_hot_record(spark):
 def test_colliding_hashes_are_compared(spark, monkeypatch):
     a, b = pa.array(["a b", "É", None, "x", ""]), pa.array(["AB.", "e", None, None, "?"])
     assert formatting.same_text(a, b).tolist() == [True, False, True, False, True]
+    long = pa.array(["x" * 300_000 + "y", "ab " * 99_999 + "c", "a" * 70_000])
+    other = pa.array(["X-" * 300_000 + "y", "AB" * 99_999 + "d", "a, " * 70_001])
+    monkeypatch.setattr(formatting, "STRETCH", 4096)
+    assert formatting.same_text(long, other).tolist() == [True, False, False] and formatting.same_text(long, long).all()
+    assert (formatting.fingerprints(long) == formatting.fingerprints(other)).tolist() == [True, False, False]
     import pandas as pd
 
     got = formatting._regroup(pd.DataFrame({"first_id": 1, "row": [4, 5, 6], "en": ["a", "A.", "b"], "fr": ["x", "x", "x"]}))

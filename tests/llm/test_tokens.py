@@ -126,3 +126,16 @@ def test_mix(spark):
     fixed = {(r.mix_id, r.source): r for r in mixing.mix_sources(df, targets.where("mix_id = 1"), total_tokens=1000)[1].collect()}
     assert sum(r.taken_tokens for r in fixed.values()) == pytest.approx(1000, abs=8)
     assert mixing.mix_sources(df.limit(0), targets)[0].count() == 0
+
+
+def test_scan_is_the_automaton_run_sign_by_sign():
+    rng = np.random.default_rng(2)
+    goes, begins = encoding.automaton()
+    for n in (1, 3, 7, 100, 5000, 70_001):
+        kinds = rng.choice(16, n).astype(np.uint8)
+        want, state = [], encoding.FRESH
+        for k in kinds:
+            want.append(state)
+            state = goes[k, state]
+        assert encoding.states(kinds).tolist() == want
+        assert encoding.scan(kinds.astype(np.int64), goes).tolist() == want
