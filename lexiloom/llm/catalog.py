@@ -1,8 +1,6 @@
 """Queries of the training-data operators, with their SQL where there is one."""
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import functions as F
 
 from lexiloom.llm import alignment, cooccurrence, encoding, formatting, lookalike, markup, mixing, splitting
@@ -68,6 +66,11 @@ def p5_found(spark, folder):
     return lookalike.lookalike_pairs(spread(table(spark, folder, "segments")))
 
 
+def p5_classes(spark, folder):
+    """Segments that look like others stored differently: their class and number of links."""
+    return lookalike.lookalike_classes(spread(table(spark, folder, "segments")))
+
+
 def p5_unified(spark, folder):
     """Every segment's text in one consistent form."""
     return lookalike.unify_lookalikes(spread(table(spark, folder, "segments")))
@@ -98,7 +101,7 @@ def p8_pieces(spark, folder):
     return splitting.split_texts(spread(table(spark, folder, "documents")), table(spark, folder, "split_limits"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_aligned, p2_found, p2_pairs, p2_counts, p2_lexicon, p3_found, p3_records, p4_found, p4_clean, p5_found, p5_unified, p6_ids, p6_round_trip, p7_mix, p7_report, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_aligned, p2_found, p2_pairs, p2_counts, p2_lexicon, p3_found, p3_records, p4_found, p4_clean, p5_found, p5_classes, p5_unified, p6_ids, p6_round_trip, p7_mix, p7_report, p8_pieces)}
 
 _FOLD = r"regexp_replace(lower({0}), '[\s\p{{Z}}\p{{P}}]', '', 'g')"
 _RECORD = f"""(with folded as (select distinct row_id, coalesce('t' || {_FOLD.format('en')}, '') as a, coalesce('t' || {_FOLD.format('fr')}, '') as b from aligned_book where row_id is not null)
@@ -113,20 +116,30 @@ _STEMS = """(with t as (select distinct pair_id, 'en' as lang, unnest(stems_en)
 _ROW = "select {a} as source_stem, '{a}' as source_lang, {b} as target_stem, '{b}' as target_lang, cast(printf('%.4f', dice) as double) as score, co as co_occurrence_count, n_{a} as source_count, n_{b} as target_count from c2"
 
 
+#: Look-alikes as the SQL sees them, written down apart from the operator: signs with what they print as.
+_SEEN = {
+    "АВЕЅІЈКМНОРСТУХѴҮԌԚԜ": "ABESIJKMHOPCTУXVYGQW", "аеорсухѕіјһԁԛԝүӏ": "aeopcyxsijhdqwyl",
+    "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ": "ABEZHIKMNOPTYX", "οϲϳνραιυγσ": "ocjvpaiuyo",
+    "\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000": " " * 15, "\u2010\u2011\ufe63": "---",
+    "".join(map(chr, range(0xFF01, 0xFF5F))): "".join(map(chr, range(0x21, 0x7F))),
+}
+
 
 def _looks() -> str:
     """What a segment's text looks like, as SQL: single signs by translate, ligatures by replace, composition by NFC."""
-    single = {c: v for c, v in lookalike.links().items() if len(c) == len(v) == 1 and unicodedata.normalize("NFC", c) == c and c not in "'"}
     inner = "text"
-    for c in ("ﬃ", "ﬄ", "ﬀ", "ﬁ", "ﬂ"):
-        inner = f"replace({inner}, '{c}', '{lookalike.links()[c]}')"
-    gone = rf"regexp_replace({inner}, '[\p{{Cf}}\x{{FE00}}-\x{{FE0F}}]', '', 'g')"
-    return "nfc_normalize(translate({}, '{}', '{}'))".format(gone, "".join(single), "".join(v.replace("'", "''") for v in single.values()))
+    for joined, letters in (("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬆ", "st"), ("ﬅ", "st"), ("ĳ", "ij"), ("Ĳ", "IJ"), ("ǆ", "dž"), ("ǉ", "lj"), ("ǌ", "nj"), ("ǳ", "dz")):
+        inner = f"replace({inner}, '{joined}', '{letters}')"
+    gone = rf"regexp_replace({inner}, '[\p{{Cf}}\x{{FE00}}-\x{{FE0F}}\x{{34F}}]', '', 'g')"
+    signs, letters = "".join(_SEEN), "".join(_SEEN.values())
+    keep = [(a, b) for a, b in zip(signs, letters) if a != b]
+    return "nfc_normalize(translate({}, '{}', '{}'))".format(gone, "".join(a for a, _ in keep), "".join(b for _, b in keep).replace("'", "''"))
 
 
 def _oracles() -> dict[str, str]:
     return {
         "p5_found": f"with s as (select distinct id, text, {_looks()} as look from segments where id is not null and text is not null) select distinct a.id as segment_a, b.id as segment_b from s a join s b on a.look = b.look and a.id < b.id and a.text <> b.text",
+        "p5_classes": f"with s as (select distinct id, text, {_looks()} as look from segments where id is not null and text is not null), c as (select look, min(id) as class_id, count(*) as n from s group by look having count(distinct text) > 1), f as (select look, text, count(*) as n from s group by all) select s.id, c.class_id, max(c.n - f.n) as n_links from s join c using (look) join f on f.look = s.look and f.text = s.text group by all",
         "p2_found": f"select 'en:' || en as item_a, 'fr:' || fr as item_b from {_STEMS} where co >= 5 and co * total >= 6 * n_en * n_fr",
         "p2_counts": f"select en as \"left\", fr as \"right\", co as n_ab, n_en as n_a, n_fr as n_b, total as n_records, co::double * total / n_en / n_fr as lift from {_STEMS}",
         "p2_lexicon": f"with c2 as (select * from {_STEMS} where dice >= 0.1) {_ROW.format(a='en', b='fr')} union all {_ROW.format(a='fr', b='en')}",
@@ -136,8 +149,4 @@ def _oracles() -> dict[str, str]:
     }
 
 
-def __getattr__(name: str):
-    """ORACLES is worked out when it is asked for, since the look-alike SQL walks through Unicode."""
-    if name == "ORACLES":
-        return _oracles()
-    raise AttributeError(name)
+ORACLES = _oracles()

@@ -11,6 +11,7 @@ import re
 import sys
 import unicodedata
 from collections import Counter
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -20,15 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.encoding import as_texts, slices
-from lexiloom.plans.skew import join_unique
+from lexiloom.plans.skew import ROWS_PER_REPLICA, SMALL_ROWS, join_unique
 from lexiloom.plans.staging import cut
 
-#: Letters of other scripts that print as a Latin letter; each string of look-alikes against its letter.
+#: Letters of Greek, Cyrillic, Armenian, Cherokee and of phonetic alphabets, and some signs, that print as a Latin letter or a
+#: common sign; each string of look-alikes against its letter.
 SCRIPTS = {
-    "A": "ΑА", "B": "ΒВ", "C": "СϹ", "E": "ΕЕ", "F": "Ϝ", "G": "Ԍ", "H": "ΗН", "I": "ΙІӀ", "J": "ЈͿ", "K": "ΚК", "M": "ΜМϺ", "N": "Ν", "O": "ΟОՕ",
-    "P": "ΡР", "Q": "Ԛ", "S": "ЅՏ", "T": "ΤТ", "W": "Ԝ", "X": "ΧХ", "Y": "ΥҮ", "Z": "Ζ",
-    "a": "а", "c": "сϲ", "d": "ԁ", "e": "е", "h": "һ", "i": "і", "j": "јϳ", "l": "ӏ", "o": "οоօ", "p": "р", "q": "ԛ", "s": "ѕ", "w": "ԝ", "x": "х", "y": "уү",
-    "-": "‐‑﹣", ";": ";", "·": "·",
+    "A": "ΑАᎪ", "B": "ΒВᏴ", "C": "СϹᏟ", "D": "Ꭰ", "E": "ΕЕᎬ", "F": "Ϝ", "G": "ԌᏀ", "H": "ΗНᎻ", "I": "ΙІӀ", "J": "ЈͿᎫ", "K": "ΚКᏦ", "L": "Ꮮ", "M": "ΜМϺᎷ", "N": "Ν", "O": "ΟОՕ",
+    "P": "ΡРᏢ", "Q": "Ԛ", "R": "Ꭱ", "S": "ЅՏᏚ", "T": "ΤТᎢ", "V": "ѴᏙ", "W": "ԜᎳ", "X": "ΧХ", "Y": "ΥҮ", "Z": "ΖᏃ",
+    "a": "аαɑ", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ", "i": "іι", "j": "јϳ", "l": "ӏ", "n": "ո", "o": "οоօσ", "p": "рρ", "q": "ԛզ", "s": "ѕ", "u": "υս", "v": "νѵ", "w": "ԝ", "x": "х", "y": "уүγ",
+    "-": "‐‑﹣", ";": ";", "·": "·",
 }
 #: The same, letter by letter.
 LETTERS = {c: letter for letter, others in SCRIPTS.items() for c in others}
@@ -211,24 +213,56 @@ def unify_lookalikes(df: DataFrame, id_col: str = "id", text_col: str = "text")
     return df.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(work, f"`{id_col}` {kind}, text string, unified string")
 
 
-def lookalike_pairs(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+@dataclass
+class Members:
+    """held: (key, form, id, n_form, n_class), an id's texts in classes of more than one stored form; forms: (key, form, n_form)."""
+
+    held: DataFrame
+    forms: DataFrame
+
+
+def _members(df: DataFrame, id_col: str, text_col: str) -> Members:
+    seen = unify_lookalikes(df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()), id_col, text_col)
+    rows = cut(seen.select(F.col(id_col).alias("id"), F.unhex(F.sha2("unified", 256)).alias("key"), F.xxhash64("text").alias("form")).distinct())
+    twins = rows.groupBy("key").agg(F.min("form").alias("low"), F.max("form").alias("high"), F.count(F.lit(1)).alias("n_class")).where("low <> high").select("key", "n_class")
+    within = cut(join_unique(rows, twins, ["key"], "n_class", rows.count()))
+    forms = cut(within.groupBy("key", "form").agg(F.count(F.lit(1)).alias("n_form")))
+    size = forms.agg(F.sum("n_form").alias("total"), F.count(F.lit(1)).alias("rows")).first()
+    return Members(cut(join_unique(within, forms, ["key", "form"], "n_form", size.total or 0, size.rows)), forms)
+
+
+def lookalike_classes(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, class_id, n_links): every id whose text has a differently stored twin, with the smallest id of its class of texts that look
+    the same and the number of ids it makes a pair with. Sums only: a class of any size costs its rows.
+
+    Rows with null id or text are in no class. An id with several texts has a row for each class; within a class it counts once for
+    each stored form."""
+    held = _members(df, id_col, text_col).held
+    first = held.groupBy("key").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    size = first.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("rows")).first()
+    return join_unique(held, first, ["key"], "n", size.total or 0, size.rows).groupBy("id", "class_id").agg(F.max(F.col("n_class") - F.col("n_form")).alias("n_links"))
+
+
+def lookalike_pairs(df: DataFrame, id_col: str = "id", text_col: str = "text", replica_rows: int = ROWS_PER_REPLICA) -> DataFrame:
     """(segment_a, segment_b), segment_a < segment_b: ids whose texts look the same but are stored differently, each pair once.
 
     Rows with null id or text make no pair; the empty text pairs with texts that print nothing. Ids delivered again count
     once; an id with several texts pairs by each of them. Only texts that have a differently stored twin are paired, and
-    by their distinct stored forms, so a text that recurs a million times in one form costs nothing; the rows out are
-    exactly the result."""
-    seen = unify_lookalikes(df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()), id_col, text_col)
-    rows = cut(seen.select(F.col(id_col).alias("id"), F.unhex(F.sha2("unified", 256)).alias("key"), F.xxhash64("text").alias("form")).distinct())
-    twins = rows.groupBy("key").agg(F.min("form").alias("low"), F.max("form").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("key", "n")
-    held = cut(join_unique(rows, twins, ["key"], "n", rows.count()).drop("n"))
-    forms = held.select("key", "form").distinct()
-    pairs = forms.alias("x").join(forms.alias("y"), "key").where("x.form < y.form").select("key", F.col("x.form").alias("form_a"), F.col("y.form").alias("form_b"))
-    side = lambda x: held.select("key", F.col("form").alias(f"form_{x}"), F.col("id").alias(f"id_{x}"))
-    return (
-        pairs.join(side("a"), ["key", "form_a"])
-        .join(side("b"), ["key", "form_b"])
-        .where("id_a <> id_b")
-        .select(F.least("id_a", "id_b").alias("segment_a"), F.greatest("id_a", "id_b").alias("segment_b"))
-        .distinct()
-    )
+    by their distinct stored forms, so a text that recurs a million times in one form costs nothing. The ids of a form are dealt out in
+    parts of about replica_rows; a pair of forms is worked out part by part, so no task holds all ids of a form. The rows
+    out are exactly the result; `lookalike_classes` has the same links without expanding them."""
+    members = _members(df, id_col, text_col)
+    parts = F.ceil(F.col("n_form") / replica_rows).cast("int")
+    held = members.held.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    sized = members.forms.select("key", "form", parts.alias("parts"))
+    x, y = (sized.select("key", F.col("form").alias(f"form_{k}"), F.col("parts").alias(f"parts_{k}")) for k in "ab")
+    met = x.join(y, "key").where("form_a < form_b").withColumn("part_a", F.explode(F.expr("sequence(0, parts_a - 1)"))).withColumn("part_b", F.explode(F.expr("sequence(0, parts_b - 1)"))).drop("parts_a", "parts_b")
+    side = lambda k: held.select("key", F.col("form").alias(f"form_{k}"), F.col("part").alias(f"part_{k}"), F.col("id").alias(f"id_{k}"))
+    pairs = met.join(side("a"), ["key", "form_a", "part_a"]).join(side("b"), ["key", "form_b", "part_b"]).where("id_a <> id_b").select("id_a", "id_b")
+    # a pair can only come twice through an id that has several texts
+    several = F.broadcast(some) if (some := cut(members.held.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"))).count() <= SMALL_ROWS else some
+    ordered = pairs.select(F.least("id_a", "id_b").alias("segment_a"), F.greatest("id_a", "id_b").alias("segment_b"))
+    for c in ("segment_a", "segment_b"):
+        ordered = ordered.join(several.select(F.col("id").alias(c), F.lit(True).alias(f"again_{c}")), c, "left")
+    again = F.coalesce("again_segment_a", "again_segment_b", F.lit(False))
+    return ordered.where(~again).select("segment_a", "segment_b").unionByName(ordered.where(again).select("segment_a", "segment_b").distinct())

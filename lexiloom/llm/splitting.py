@@ -21,6 +21,8 @@ PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, INSIDE, BROKEN = "PLSCWNx"
 SENTENCE_ENDS, CLAUSE_ENDS, CLOSERS = ".!?…。！？", ",;:—–，；：", "\"'»”’)]"
 #: A boundary that isn't a word's counts only where a piece of at least this share of the limit ends there.
 LEAST_SHARE = 0.5
+#: Pieces whose sizes are summed up as one chunk.
+CHUNK = 256
 #: Rows of split_limits are read on the driver up to this number.
 MOST_LIMITS = 1000
 
@@ -126,7 +128,7 @@ def split_texts(df: DataFrame, limits: DataFrame, id_col: str = "doc_id", text_c
         # 1. token counts of the pieces, by the pattern
         staged = tokens.select("*", *(F.when(F.col("n_tokens") > most, F.transform(F.regexp_extract_all(F.col("marks").cast("string"), F.lit(f"({pattern(use, overlap)})"), F.lit(0)), F.length)).alias(f"sizes_{k}") for k, (_, most, overlap, use) in enumerate(wanted)))
         # 2. running sums: where each piece ends
-        staged = staged.select("id_", "marks", "ends", "raw", *(F.aggregate(f"sizes_{k}", F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))).alias(f"cuts_{k}") for k in range(len(wanted))))
+        staged = staged.select("id_", "marks", "ends", "raw", *(_running(F.col(f"sizes_{k}")).alias(f"cuts_{k}") for k in range(len(wanted))))
         # 3. look-backs and slices of the bytes
         staged = staged.select("id_", F.flatten(F.filter(F.array(*(_spans(k, limit_id, overlap) for k, (limit_id, _, overlap, _) in enumerate(wanted))), F.isnotnull)).alias("pieces"))
         # outer, since each row has pieces: a plain inline has Catalyst push a filter that works out cuts_k once per piece
@@ -137,6 +139,22 @@ def split_texts(df: DataFrame, limits: DataFrame, id_col: str = "doc_id", text_c
     return out
 
 
+def _sums(a: Column, first: Column) -> Column:
+    """first, and the running sums from there on. Each step copies the array, so it is for short ones."""
+    return F.aggregate(a, F.array(first), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+
+
+def _running(sizes: Column) -> Column:
+    """0 and the running sums of an array of any length: within chunks of CHUNK elements, and over the chunks' totals."""
+    count = F.size(sizes)
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(count, F.lit(1)) - 1) / CHUNK).cast("int")), lambda i: F.slice(sizes, i * CHUNK + 1, F.lit(CHUNK)))
+    total = lambda c: F.aggregate(c, F.lit(0), lambda acc, n: acc + n)
+    # chunk by chunk, each from the sum before it; one chunk is the usual case
+    starts = _sums(F.transform(chunks, total), F.lit(0))
+    many = F.concat(F.array(F.lit(0)), F.flatten(F.transform(chunks, lambda c, i: F.slice(_sums(c, F.get(starts, i)), F.lit(2), F.lit(CHUNK)))))
+    return F.when(count <= CHUNK, _sums(sizes, F.lit(0))).otherwise(many)
+
+
 def _spans(k: int, limit_id: int, overlap: int) -> Column:
     """Array of the pieces' structs from cuts_k, the ends of pieces in tokens behind a leading 0."""
     cuts = F.col(f"cuts_{k}")

@@ -63,6 +63,21 @@ def test_lookalikes(spark):
     assert lookalike.lookalike_pairs(df.limit(0)).count() == 0
 
 
+def test_lookalikes_of_a_hot_form(spark):
+    """One form with many ids is dealt out; classes and links need no pairs."""
+    rows = [(i, "fine café") for i in range(300)] + [(1000 + i, "ﬁne café") for i in range(7)] + [(2000, "fine cafe\u0301"), (2000, "other"), (5, "ﬁne café")] + [(3000 + i, f"plain {i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    forms = {}
+    for i, t in rows:
+        if "plain" not in t and t != "other":
+            forms.setdefault(t, set()).add(i)
+    want = {(min(a, b), max(a, b)) for x, y in itertools.combinations(forms.values(), 2) for a in x for b in y if a != b}
+    got = [tuple(r) for r in lookalike.lookalike_pairs(df, replica_rows=40).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    links = {r.id: (r.class_id, r.n_links) for r in lookalike.lookalike_classes(df).collect()}
+    assert set(links) == set().union(*forms.values()) and {c for c, _ in links.values()} == {0} and links[7] == (0, 9) and links[1000][1] == 301
+
+
 def test_representatives_follow_the_corpus():
     table = lookalike.rewriting({"é": 1, "e\u0301": 9, "е": 50, "e": 3, "\u200b": 4})
     assert table["é"] == "e\u0301" and table["e"] == "е" and table["\u200b"] == ""

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lexiloom.llm import encoding, mixing, splitting, vocab
 
@@ -139,3 +140,9 @@ def test_scan_is_the_automaton_run_sign_by_sign():
             state = goes[k, state]
         assert encoding.states(kinds).tolist() == want
         assert encoding.scan(kinds.astype(np.int64), goes).tolist() == want
+
+
+def test_running_sums_of_any_length(spark):
+    sizes = [[], [3], list(range(1, 257)), list(range(1, 258)), [1] * 5000]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(sizes)], "i int, sizes array<int>").select("i", splitting._running(F.col("sizes")).alias("sums")).orderBy("i").collect()
+    assert [r.sums for r in got] == [np.concatenate([[0], np.cumsum(x)]).astype(int).tolist() for x in sizes]
