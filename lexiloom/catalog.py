@@ -8,7 +8,7 @@ from lexiloom.functions.lexicons import LANGUAGES
 from lexiloom.operators import highlight, ingest, lexicon, retrieval, search
 from lexiloom.plans.oracles import ORACLES
 from lexiloom.plans.samples import row_queries, sample_queries
-from lexiloom.plans.staging import scratch
+from lexiloom.plans.staging import cut, scratch
 from lexiloom.sources import files
 from lexiloom.sources.tables import spread, table
 
@@ -145,7 +145,7 @@ def hints_top5(spark, folder):
 
 def hints_surface_forms(spark, folder):
     """Surface forms of the best translations, in order."""
-    return lexicon.corpus_hints(sample_queries(spark), _texts(spark, folder), "row_id")
+    return lexicon.corpus_hints(sample_queries(spark), _stemmed(spark, folder), "row_id")
 
 
 def stored_hints(spark, folder):
@@ -187,7 +187,7 @@ def postings(spark, folder):
     return retrieval.postings(_rows(spark, folder))
 
 
-_indexes: dict[tuple, retrieval.Index] = {}
+_indexes: dict[tuple, object] = {}
 
 
 def _changed(spark, folder) -> int:
@@ -196,14 +196,23 @@ def _changed(spark, folder) -> int:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
 
 
-def _index(spark, folder):
-    """The index of a folder's pairs: built once for each state of the table and reused by all queries until `release`."""
-    key = (spark.sparkContext.applicationId, folder, _changed(spark, folder))
+def _built(spark, folder, name, make):
+    """What `make` builds of a folder's pairs: once for each state of the table, and reused by all queries until `release`."""
+    key = (spark.sparkContext.applicationId, folder, _changed(spark, folder), name)
     if key not in _indexes:
-        _indexes[key] = retrieval.build(_rows(spark, folder))
+        _indexes[key] = make()
     return _indexes[key]
 
 
+def _index(spark, folder) -> retrieval.Index:
+    return _built(spark, folder, "index", lambda: retrieval.build(_rows(spark, folder)))
+
+
+def _stemmed(spark, folder):
+    """Stems of all texts, for the hints."""
+    return _built(spark, folder, "stems", lambda: cut(lexicon.stems(_texts(spark, folder), "row_id")))
+
+
 def release() -> None:
     """Let go of all indexes, and of their files where the session cleans checkpoints."""
     _indexes.clear()

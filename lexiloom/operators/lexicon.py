@@ -41,8 +41,9 @@ def frequencies(held: DataFrame) -> DataFrame:
 def cooccurrence(held: DataFrame, key: str = "pair_id") -> DataFrame:
     """(en, fr, co): in how many pairs an English stem stands with a French one.
 
-    held is read several times. Pairs are counted where they are formed, before the shuffle, and a pair_id with a large
-    part of all stems is dealt out over many tasks."""
+    Pairs are counted where they are formed, before the shuffle, and a pair_id with a large part of all stems is dealt out over
+    many tasks."""
+    held = cut(held)
     en = held.where("lang = 'en'").select(key, F.col("stem").alias("en"))
     fr = held.where("lang = 'fr'").select(key, F.col("stem").alias("fr"))
     return join_many(en, fr, key, "en").groupBy("en", "fr").agg(F.count(F.lit(1)).alias("co"))
@@ -74,12 +75,12 @@ def lexicon_of(held: DataFrame, key: str = "pair_id", least: float = LEAST_DICE)
     return kept.select(F.inline(F.array(entry("en", "fr"), entry("fr", "en"))))
 
 
-def lexicon_for(queries: DataFrame, found: DataFrame, key: str = "pair_id", least: float = LEAST_DICE) -> DataFrame:
-    """The lexicon's rows whose source is a stem of the queries' words; found is the result of `stems`, read several times.
+def lexicon_for(words: DataFrame, found: DataFrame, key: str = "pair_id", least: float = LEAST_DICE) -> DataFrame:
+    """The lexicon's rows whose source is a stem of words, the result of `query_words`; found is the result of `stems`, read several times.
 
     Only pairs that hold such a stem are joined, so the work follows what is asked, not the vocabulary."""
     held = cut(memberships(found, key))
-    asked = query_words(queries).select("lang", "stem").distinct()
+    asked = words.select("lang", "stem").distinct()
     source = held.join(asked, ["lang", "stem"], "left_semi").select(key, F.col("lang").alias("source_lang"), F.col("stem").alias("source_stem"))
     target = held.select(key, F.col("lang").alias("target_lang"), F.col("stem").alias("target_stem"))
     counted = cut(join_many(cut(source), target, key, "source_stem").where("source_lang <> target_lang").groupBy("source_lang", "source_stem", "target_lang", "target_stem").agg(F.count(F.lit(1)).alias("co")))
@@ -105,12 +106,13 @@ def query_words(queries: DataFrame) -> DataFrame:
     return placed.select("query_id", "lang", F.col("idx").alias("word_idx"), F.col("surface").alias("word"), T.stem_prepared(F.col("surface"), F.col("bare"), F.col("lang")).alias("stem"))
 
 
-def lookup(queries: DataFrame, entries: DataFrame, limit: int = LOOKUP_LIMIT) -> DataFrame:
+def lookup(queries: DataFrame, entries: DataFrame, limit: int = LOOKUP_LIMIT, words: DataFrame | None = None) -> DataFrame:
     """(query_id, lang, word_idx, rank, target_stem, score): the best translations of each query word, ties by stem.
 
-    Entries with a null score are left out; repeated entries count once, by their best score."""
+    Entries with a null score are left out; repeated entries count once, by their best score. words: the result of `query_words`,
+    if it is worked out already."""
     once = entries.where("score is not null").groupBy("source_stem", "source_lang", "target_stem").agg(F.max("score").alias("score"))
-    asked = query_words(queries).select("query_id", "lang", "word_idx", F.col("stem").alias("source_stem"))
+    asked = (query_words(queries) if words is None else words).select("query_id", "lang", "word_idx", F.col("stem").alias("source_stem"))
     best = Window.partitionBy("query_id", "word_idx").orderBy(F.desc("score"), "target_stem")
     return asked.join(once.withColumnRenamed("source_lang", "lang"), ["source_stem", "lang"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("query_id", "lang", "word_idx", "rank", "target_stem", "score")
 
@@ -119,19 +121,19 @@ def other(lang: Column) -> Column:
     return F.when(lang == "en", "fr").otherwise("en")
 
 
-def hints(queries: DataFrame, entries: DataFrame, forms: DataFrame) -> DataFrame:
+def hints(queries: DataFrame, entries: DataFrame, forms: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """(query_id, word_idx, rank, surface): words known to translate each query word, stop words among the stems left out
     after the limit, in the order of query word, score, stem and surface."""
-    found = lookup(queries, entries).withColumn("target_lang", other(F.col("lang")))
+    found = lookup(queries, entries, words=words).withColumn("target_lang", other(F.col("lang")))
     found = found.where(~T.is_stop_bare(T.strip_accents(F.col("target_stem")), F.col("target_lang")))
     known = forms.select(F.col("stem").alias("target_stem"), F.col("language").alias("target_lang"), F.col("surface_form").alias("surface")).distinct()
     return found.join(known, ["target_stem", "target_lang"]).select("query_id", "word_idx", "rank", "surface")
 
 
-def corpus_hints(queries: DataFrame, docs: DataFrame, key: str = "pair_id") -> DataFrame:
-    """The same with the lexicon and the stem forms of the pairs themselves; every text is stemmed once."""
-    found = cut(stems(docs, key))
-    return hints(queries, lexicon_for(queries, found, key), forms_of(found))
+def corpus_hints(queries: DataFrame, found: DataFrame, key: str = "pair_id") -> DataFrame:
+    """The same with the lexicon and the stem forms of the pairs themselves; found is the result of `stems`, read several times."""
+    words = cut(query_words(queries))
+    return hints(queries, lexicon_for(words, found, key), forms_of(found), words)
 
 
 def hint_lists(found: DataFrame) -> DataFrame:

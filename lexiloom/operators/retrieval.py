@@ -148,13 +148,14 @@ def field_scores(queries: DataFrame, index: Index) -> DataFrame:
     return near.join(df, ["lang", "field"]).join(index.whole, "lang").select("query_id", "lang", "pair_id", score.alias("score"))
 
 
-def ranked(queries: DataFrame, index: Index) -> DataFrame:
+def ranked(queries: DataFrame, index: Index, asked: DataFrame | None = None) -> DataFrame:
     """(query_id, lang, pair_id, position, score, rank): each query's best pairs, at most its limit.
 
     queries: (query_id, q, lang, limit). A pair needs a phrase, enough terms, or the whole field. The largest limit, one
-    number, is read first: with it the ranking is a group limit, so every task hands on that many pairs of a query at most."""
+    number, is read first: with it the ranking is a group limit, so every task hands on that many pairs of a query at most.
+    asked: the queries' terms, if they are worked out already."""
     most = queries.agg(F.max("limit")).first()[0] or 0
-    asked = query_terms(queries)
+    asked = cut(query_terms(queries)) if asked is None else asked
     terms = text_scores(term_scores(asked, index), asked).select("query_id", "lang", "pair_id", (TEXT_BOOST * F.col("score")).alias("score"))
     best = terms.unionByName(field_scores(queries, index)).groupBy("query_id", "lang", "pair_id").agg(F.max("score").alias("score"))
     phrase = phrase_scores(asked, phrases(asked, index.posted), index).withColumn("score", PHRASE_BOOST * F.col("score"))

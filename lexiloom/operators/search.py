@@ -32,8 +32,9 @@ def checked(queries: DataFrame, on_error: str = "raise") -> DataFrame:
 
 def hits(queries: DataFrame, index: retrieval.Index) -> DataFrame:
     """Each query's ranked pairs with texts and ids, and text_highlighted: the text with matched words marked."""
-    best = cut(retrieval.ranked(queries, index))
-    terms = retrieval.matched_terms(retrieval.query_terms(queries), index.stats)
+    asked = cut(retrieval.query_terms(queries))
+    best = cut(retrieval.ranked(queries, index, asked))
+    terms = retrieval.matched_terms(asked, index.stats)
     found = index.rows.drop("position").join(best, ["lang", "pair_id"]).join(queries.select("query_id", "q"), "query_id").join(terms, "query_id", "left")
     return cut(found.withColumn("text_highlighted", retrieval.marked(F.col("text"), F.col("lang"), F.coalesce("terms", F.array().cast("array<string>")))).drop("terms"))
 
@@ -46,7 +47,7 @@ def search(queries: DataFrame, docs: DataFrame, entries: DataFrame | None = None
     entries and forms are the lexicon and its stem forms; without them both are derived from docs, for the words asked. An
     empty aligned text is null. With an index of docs at hand, `results` saves building it."""
     asked = checked(queries, on_error)
-    hints = lexicon.corpus_hints(asked, docs) if entries is None or forms is None else lexicon.hints(asked, entries, forms)
+    hints = lexicon.corpus_hints(asked, cut(lexicon.stems(docs))) if entries is None or forms is None else lexicon.hints(asked, entries, forms)
     return results(asked, retrieval.build(ingest.by_language(docs)), hints)
 
 

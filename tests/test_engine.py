@@ -200,7 +200,7 @@ def test_one_key_with_half_of_all_rows(spark):
 def test_lexicon_of_what_is_asked(spark, docs):
     queries = ask(spark, ("lost the shepherd", "en", 3), ("perdus", "fr", 3))
     whole = {tuple(r) for r in lexicon.lookup(queries, lexicon.lexicon(docs)).collect()}
-    assert whole and {tuple(r) for r in lexicon.lookup(queries, lexicon.lexicon_for(queries, lexicon.stems(docs))).collect()} == whole
+    assert whole and {tuple(r) for r in lexicon.lookup(queries, lexicon.lexicon_for(lexicon.query_words(queries), lexicon.stems(docs))).collect()} == whole
 
 
 def test_ranking_has_a_group_limit(spark, docs):
