@@ -40,7 +40,7 @@ PROJECTED, SEEN = 100_000, 3
 #: A term is itself in both languages where at least this part of its documents has it on both sides.
 ALIKE_SHARE = 0.5
 #: Dimensions of the decomposition, and of the vectors of terms outside it.
-RANK, OUTSIDE = 192, 64
+RANK, OUTSIDE = 128, 64
 #: Segments of a cell, of the margin around it, and around its stretch of the other version.
 CELL, HALO, REACH = 256, 12, 64
 #: Signatures of a segment, and their bits.
