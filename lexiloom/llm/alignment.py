@@ -181,9 +181,7 @@ def learn(pairs: DataFrame, left_col: str, right_col: str, vocabulary: int = VOC
     doesn't grow with the rows: at most `vocabulary` squared counts and 2 * PROJECTED projections a core."""
     spark = pairs.sparkSession
     docs = pairs.where(F.col(left_col).isNotNull() & F.col(right_col).isNotNull()).select(F.col(left_col).cast("string").alias("a"), F.col(right_col).cast("string").alias("b"))
-    cores = spark.sparkContext.defaultParallelism
-    if docs.rdd.getNumPartitions() > cores:
-        docs = docs.coalesce(cores)
+    docs = docs.coalesce(spark.sparkContext.defaultParallelism)  # never more partitions than there are
 
     def tally(batches):
         total: dict[str, np.ndarray] = {}
@@ -658,7 +656,7 @@ def align(books: DataFrame, segments: DataFrame, pairs: DataFrame, left_col: str
     total = (known.agg(F.sum("n")).first()[0] or 0)
     rows = cut(join_unique(clean, known, ["book_id"], "n", total).select("work", F.col("side").cast("int").alias("side"), "id", "position", "text").dropDuplicates(["id"]))
     rough = pairs.select(F.col(left_col).cast("string").alias("en"), F.col(right_col).cast("string").alias("fr"))
-    space = spark.sparkContext.broadcast(learn(rough if stored is None else rough.unionByName(stored_texts(stored, rows)), "en", "fr", vocabulary))
+    space = spark.sparkContext.broadcast(learn(rough if stored is None else rough.unionByName(cut(stored_texts(stored, rows))), "en", "fr", vocabulary))
     cells = cut(_cells(rows, space))
     # the English side: a cell and its margin; the French side: the blocks that its stretch touches
     en = rows.where("side = 0").withColumn("block", F.floor(F.col("position") / CELL))
