@@ -208,6 +208,35 @@ def test_ranking_has_a_group_limit(spark, docs):
     assert "WindowGroupLimit" in plan
 
 
+def test_many_queries_meet_shards(spark):
+    """Pairs far apart by id lie in shards of their own; hits are the same as in one shard, and only shards see pairs of query and text."""
+    words = ["river", "golden", "shepherd", "carried", "letter", "winter", "market", "needle"]
+    texts = [f"{words[i % 8].title()} {words[i // 8 % 8]} the {words[(i * 5 + 3) % 8]} {words[i % 3]}" for i in range(70)] + ["And of the", "and of teh", "Âme", ""]
+    queries = [(i, q, "en", 1 + i % 7) for i, q in enumerate([*texts[:40:3], "and of the", "ame", "rivre goldn", "needle", "the river river", "zzz", "river golden the carried rivr"])]
+    asked = spark.createDataFrame(queries, "query_id int, q string, lang string, limit int")
+
+    def hits(step):
+        rows = spark.createDataFrame([("en", step * i, step * i, t) for i, t in enumerate(texts)], "lang string, pair_id bigint, position bigint, text string")
+        found = retrieval.ranked(asked, retrieval.build(rows))
+        return found, {(r.query_id, r["rank"]): (r.pair_id // step, r.score) for r in found.collect()}
+
+    (plan, near), (_, far) = hits(1), hits(30000)
+    assert near == far and {k for k, (i, _) in near.items() if texts[i] == "And of the"} == {(14, 1)} and near[15, 1][0] == 72
+    assert max(rank for q, rank in near if q == 14) == 1 + 14 % 7 or len([1 for q, _ in near if q == 14]) == 2
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in text and "levenshtein" not in text.lower()
+
+
+def test_near_fields_are_met_by_stretches(spark):
+    """Of texts about as long as the query only those that share a stretch and most words are compared, and none within two edits is lost."""
+    q = "the shepherd of the golden river carried the letter"
+    near = [q, q[1:], q[:-2], q.replace("golden", "goldne"), q.replace(" of ", " f"), "a" + q + "b", q.replace("the letter", "theletter"), q.replace("shepherd of", "shep herd o f")]
+    other = [" ".join(f"w{i}{j}xyz" for j in range(8)) for i in range(100, 300)]
+    fields = spark.createDataFrame([("en", i, t) for i, t in enumerate([*near, *other])], "lang string, pair_id bigint, field string")
+    asked = spark.createDataFrame([(1, "en", q)], "query_id int, lang string, qfield string")
+    assert {r.pair_id for r in retrieval.near_fields(asked, fields).collect()} >= set(range(len(near))) and retrieval.near_fields(asked, fields).count() < 20
+
+
 def test_sinks(spark, tmp_path, docs):
     store = str(tmp_path / "s")
     assert files.write_store(docs, store, "T", source="a.csv") == (1, 2) and files.write_store(docs, store, "T") == (3, 4)
