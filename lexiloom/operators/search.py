@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import text as T
 from lexiloom.functions.lexicons import LANGUAGES
 from lexiloom.operators import highlight, ingest, lexicon, retrieval
+from lexiloom.plans.skew import SMALL_ROWS
 from lexiloom.plans.staging import cut
 
 DEFAULT_LANG, DEFAULT_LIMIT = "en", 20
@@ -34,8 +35,9 @@ def hits(queries: DataFrame, index: retrieval.Index) -> DataFrame:
     """Each query's ranked pairs with texts and ids, and text_highlighted: the text with matched words marked."""
     asked = cut(retrieval.query_terms(queries))
     best = cut(retrieval.ranked(queries, index, asked))
+    few = F.broadcast(best) if best.count() <= SMALL_ROWS else best
     terms = retrieval.matched_terms(asked, index.stats)
-    found = index.rows.drop("position").join(best, ["lang", "pair_id"]).join(queries.select("query_id", "q"), "query_id").join(terms, "query_id", "left")
+    found = index.rows.drop("position").join(few, ["lang", "pair_id"]).join(queries.select("query_id", "q"), "query_id").join(terms, "query_id", "left")
     return cut(found.withColumn("text_highlighted", retrieval.marked(F.col("text"), F.col("lang"), F.coalesce("terms", F.array().cast("array<string>")))).drop("terms"))
 
 

@@ -237,6 +237,24 @@ def test_near_fields_are_met_by_stretches(spark):
     assert {r.pair_id for r in retrieval.near_fields(asked, fields).collect()} >= set(range(len(near))) and retrieval.near_fields(asked, fields).count() < 20
 
 
+def test_index_is_smaller_than_texts(spark, tmp_path):
+    """An index holds coded postings, not the texts of both sides again."""
+    texts = [(i, f"the shepherd number {i} carried the golden letter over the river in the long winter", f"le berger numéro {i} porta la lettre dorée par la rivière pendant le long hiver") for i in range(3000)]
+    rows = ingest.by_language(ingest.pairs(spark.createDataFrame(texts, "row_id bigint, en string, fr string"))).persist()
+    rows.count()
+    context = spark.sparkContext
+    before = context.getCheckpointDir()
+    context.setCheckpointDir(str(tmp_path))
+    try:
+        index = retrieval.build(rows)
+        written = sum(f.stat().st_size for f in tmp_path.rglob("*") if f.is_file())
+    finally:
+        if before:
+            context.setCheckpointDir(before.rpartition("/")[0])
+        rows.unpersist()
+    assert index.pieces.count() >= 2 and written < sum(len(a.encode()) + len(b.encode()) for _, a, b in texts) * 2
+
+
 def test_sinks(spark, tmp_path, docs):
     store = str(tmp_path / "s")
     assert files.write_store(docs, store, "T", source="a.csv") == (1, 2) and files.write_store(docs, store, "T") == (3, 4)
